@@ -178,6 +178,24 @@ def _sizes_allow(x: str, y: str, percent: int):
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coords: int = 160, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
+    return _grouped(docs, width, percent, coords, rows).drop("key")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, coords: int = 160, rows: int = 5) -> DataFrame:
+    """The rows of docs of which one of each group stays, that of the smallest doc_id."""
+    key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+    groups = _grouped(docs, width, percent, coords, rows)
+    gone = settled(groups.where(~F.col("kept")).select(F.col("key").alias("__key")).distinct())
+    keyed = docs.withColumn("__key", key)
+    left = keyed.join(_bounded(gone), "__key", "left_anti")
+    twice = settled(groups.where("kept and n_shingles > 0").groupBy(F.col("key").alias("__key")).count().where("count > 1").select("__key"))
+    if not twice.isEmpty():  # rows of one id: of equal texts among them, one stays
+        again = left.join(_bounded(twice), "__key", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["__key", "__text"]).drop("__text")
+        left = left.join(_bounded(twice), "__key", "left_anti").unionByName(again)
+    return left.drop("__key")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, coords: int, rows: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     feats = scratch.save(features(docs, width, coords, rows))
     banded = feats.where("c is not null").select("c", "n", F.explode("bands").alias("bucket"))
@@ -204,10 +222,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coords:
             stars_now = roots.select(F.col("c").alias("a"), F.col("root").alias("b"))
             roots = components(stars_now.unionByName(more), scratch)
 
-    placed = feats.join(roots, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "c").alias("root"))
+    placed = feats.join(roots, "c", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "c").alias("root"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    out = placed.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    out = placed.join(least, "root", "left").select("doc_id", "key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
     out = settled(out)
     scratch.drop()
     return out
