@@ -98,15 +98,13 @@ def one_hot(seq: Column, length: int = 2500) -> Column:
 
 
 def walsh_hadamard(values: Column, size: int) -> Column:
-    """Walsh-Hadamard transform of an array whose size is a power of two, one butterfly level at a time."""
+    """Walsh-Hadamard transform of an array whose size is a power of two: sums under the signs (-1) ** bit_count(i & j)."""
     if size & (size - 1):
         raise ValueError("size must be a power of two")
-    out, half = F.transform(values, lambda x: x.cast("double")), 1
-    while half < size:
-        h = half
-        pick = lambda a: lambda i: F.when(i.bitwiseAND(F.lit(h)) == 0, F.get(a, i) + F.get(a, i + h)).otherwise(F.get(a, i - h) - F.get(a, i))  # noqa: E731, B023
-        out = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), pick(out))
-        half *= 2
-    return out
+    each = F.sequence(F.lit(0), F.lit(size - 1))
 
+    def coefficient(i: Column) -> Column:
+        signed = F.transform(values, lambda x, j: F.when(F.bit_count(i.bitwiseAND(j)) % 2 == 0, x.cast("double")).otherwise(-x.cast("double")))
+        return F.aggregate(signed, F.lit(0.0), lambda a, x: a + x)
 
+    return F.transform(each, coefficient)

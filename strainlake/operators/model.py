@@ -24,10 +24,10 @@ class Model:
         self.fitted = fitted
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        return self.fitted.transform(rows).withColumn("Probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        return self.fitted.transform(rows).withColumn("Probability", vector_to_array("__both")[1]).drop("features", "rawPrediction", "__both", "prediction")
 
 
 def fit(rows: DataFrame, label: str = "Outbreak", size: int = 1 << 12, rounds: int = 20) -> Model:
     hasher = FeatureHasher(inputCols=list(FEATURES), outputCol="features", numFeatures=size)
-    regression = LogisticRegression(featuresCol="features", labelCol=label, maxIter=rounds, regParam=0.001)
+    regression = LogisticRegression(featuresCol="features", labelCol=label, probabilityCol="__both", maxIter=rounds, regParam=0.001)
     return Model(Pipeline(stages=[hasher, regression]).fit(rows.withColumn(label, F.col(label).cast("double"))))

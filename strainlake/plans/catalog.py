@@ -317,8 +317,8 @@ def dna_scalars(spark, sf_dir):
 
 
 RLE = """WITH r AS (SELECT doc_id, unnest(regexp_extract_all(upper(text), '(A+|C+|G+|T+|N+)')) AS run, generate_subscripts(regexp_extract_all(upper(text), '(A+|C+|G+|T+|N+)'), 1) AS k FROM documents),
-c AS (SELECT doc_id, k, length(run) AS n, CASE run[1] WHEN 'A' THEN 97 WHEN 'C' THEN 65 WHEN 'T' THEN 78 WHEN 'G' THEN 110 ELSE 33 END AS at FROM r),
-t AS (SELECT doc_id, k, n, repeat(chr(at + 12), n // 13) || CASE WHEN n % 13 > 0 THEN chr(CAST(at + n % 13 - 1 AS INT)) ELSE '' END AS code FROM c)"""
+c AS (SELECT doc_id, k, length(run) AS n, CASE run[1] WHEN 'A' THEN 97 WHEN 'C' THEN 65 WHEN 'T' THEN 78 WHEN 'G' THEN 110 ELSE 33 END AS off FROM r),
+t AS (SELECT doc_id, k, n, repeat(chr(off + 12), n // 13) || CASE WHEN n % 13 > 0 THEN chr(CAST(off + n % 13 - 1 AS INT)) ELSE '' END AS code FROM c)"""
 
 
 @query(RLE + " SELECT d.doc_id, sha256(coalesce(string_agg(code, '' ORDER BY k), '')) AS code_hash, CAST(coalesce(sum(n), 0) AS BIGINT) AS bases, CAST(coalesce(sum(length(code)), 0) AS BIGINT) AS code_length FROM documents d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id")
@@ -388,13 +388,13 @@ def inferred_scope(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS released FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE CAST(o_orderdate AS DATE) >= DATE '1997-01-01' AND lower(n_name) = 'france' AND o_orderstatus = 'F'""")
+WHERE CAST(o_orderdate AS DATE) >= DATE '1997-01-01' AND lower(n_name) = 'nation_6' AND o_orderstatus = 'F'""")
 def released_after(spark, sf_dir):
     from strainlake.sources.remote import Selection
 
     o = a.table(spark, sf_dir, "orders").join(a.table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).join(a.table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
     rows = o.select("o_orderkey", F.col("o_orderdate").cast("date").alias("Release_Date"), F.col("n_name").alias("Country"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("partial").alias("Completeness"))
-    return Selection(location="France", released_after="1997-01-01", complete_only=True).apply(rows).select("o_orderkey", F.col("Release_Date").alias("released"))
+    return Selection(location="NATION_6", released_after="1997-01-01", complete_only=True).apply(rows).select("o_orderkey", F.col("Release_Date").alias("released"))
 
 
 # Signals
