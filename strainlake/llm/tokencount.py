@@ -6,7 +6,7 @@ from left to right stores the exact count of every prefix of the piece; pieces (
 up.  Counts, truncation to a budget and the count of any prefix then need no further encoding.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); repeated rows are kept; an input column named as
-an output column makes way.  Workers remember at most REMEMBERED pieces and pairs.
+an output column makes way.  Workers remember at most 2 * REMEMBERED pieces.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from strainlake.llm._common import field, map_texts
 from strainlake.llm.bpe import UNSETTLED, byte_letters, specials, tokenizer
 
-REMEMBERED = 400_000
-#: Longest piece whose prefix counts are remembered.
+#: Pieces (and pairs) in each of the two generations that a worker keeps; what is asked for again moves to the younger.
+REMEMBERED = 500_000
+#: Longest piece, in bytes, whose prefix counts are remembered.
 SHORT = 64
 # Fixed value: the pattern by which the tokenizer splits text.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -39,7 +40,8 @@ class PrefixCounter:
         self.cut_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.own, key=len, reverse=True))) + ")")
         self.mark = next(iter(self.own))[:2]
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _stays(self, last: str, token: str) -> bool:
         """Whether the merges leave the two tokens alone next to each other ('' before the first)."""
@@ -51,26 +53,31 @@ class PrefixCounter:
             got = self.pairs[last, token] = whole == ([last, token] if last else [token])
         return got
 
-    def prefix_counts(self, piece: str) -> list[int]:
+    def prefix_counts(self, piece: str) -> bytes | list[int]:
         """Token counts of the piece's prefixes of 0, 1, 2 ... bytes."""
         got = self.pieces.get(piece)
         if got is not None:
             return got
-        word = "".join(map(self.letters.__getitem__, piece.encode("utf-8", "surrogatepass")))
-        last, counts = [""], [0]
+        got = self.older.get(piece)
+        if got is None:
+            got = self._fill_in("".join(map(self.letters.__getitem__, piece.encode("utf-8", "surrogatepass"))))
+        if len(got) <= SHORT:
+            if len(self.pieces) >= REMEMBERED:
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[piece] = got = bytes(got)
+        return got
+
+    def _fill_in(self, word: str) -> list[int]:
+        last, counts, known, tokens = [""], [0], self.pairs.get, self.tokens
         for end in range(1, len(word) + 1):
             for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
                 token = word[start:end]
-                if token in self.tokens and self._stays(last[start], token):
+                if token in tokens and ((stays := known((last[start], token))) or stays is None and self._stays(last[start], token)):
                     last.append(token)
                     counts.append(counts[start] + 1)
                     break
             else:
                 raise ValueError("a byte has no token")
-        if len(piece) <= SHORT:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = counts
         return counts
 
     def split(self, text: str | None) -> list[str]:
@@ -93,7 +100,13 @@ class PrefixCounter:
         get, own, n = self.pieces.get, self.own, 0
         for p in self.split(text):
             got = get(p)
-            n += got[-1] if got is not None and p not in own else self.total(p)
+            if got is None:
+                if p in own:
+                    n += 1
+                    continue
+                got = self.prefix_counts(p)
+                get = self.pieces.get
+            n += got[-1]
         return n
 
     def boundaries(self, text: str | None) -> tuple[list[int], list[int]]:
