@@ -6,7 +6,8 @@
    comparisons in proportion to the bucket, which finds nearly all links.  Linked classes form components.
 3. Classes of a bucket that fell into different components may still be linked with each other.  In buckets of at
    most SMALL classes each such pair is verified.  In larger ones candidates come from an exact prefix filter:
-   with shingles ordered by rarity, two similar sets must share one of their first few shingles.
+   with shingles ordered by rarity, two similar sets must share one of their first few shingles.  Bitmaps of the shingles'
+   parities rule out most pairs that come close, before anything is sent.
 4. Components follow from alternating large-star and small-star steps over the link table.
 
 Nothing about all documents reaches the driver.  Probability enters at one place: a pair of similarity s shares no
@@ -38,6 +39,9 @@ SMALL = 32
 GROUP = 128
 #: Rows of 16 bytes up to which a table is broadcast (16 MB); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Longs of 64 bits in a set's parity bitmap.
+BITMAP = 8
+BITS = tuple(f"bits{i}" for i in range(BITMAP))
 #: Ratio of neighbouring size classes in the prefix filter.
 STEP = 1.02
 
@@ -82,8 +86,24 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Bitmap whose bits are the parities of the shingles hashed to them: two bitmaps differ in no more bits than their sets in shingles."""
+    n = np.bincount((fs.mix(s) >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(n.astype(np.uint8)).view(np.int64)
+
+
+def _may_be_similar(x: str, y: str, percent: int):
+    """False only if sizes or bitmaps rule it out: similar sets differ in at most (100 - percent) / (100 + percent) of their joint size."""
+    differ = sum((F.bit_count(F.col(f"{x}bits{i}").bitwiseXOR(F.col(f"{y}bits{i}"))) for i in range(BITMAP)), F.lit(0))
+    return _sizes_allow(f"{x}n", f"{y}n", percent) & ((100 + percent) * differ <= (100 - percent) * (F.col(f"{x}n") + F.col(f"{y}n")))
+
+
+def _named(df: DataFrame, prefix: str, *same: str) -> DataFrame:
+    return df.select(*same, *[F.col(c).alias(f"{prefix}{c}") for c in ("c", "n", "root", *BITS)])
+
+
 def _sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """c, shingles (sorted 64-bit hashes as bytes) of the documents found by key."""
+    """c, bits0 ... (parity bitmap), shingles (sorted 64-bit hashes as bytes) of the documents found by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = fs.WordHashes()
@@ -91,10 +111,13 @@ def _sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 found = [fs.shingles(fs.words_of(t), hashes, width) for t in whole.slice(at, 1024).column(0).to_pylist()]
                 found = [s for s in found if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["c", "shingles"])
+                bits = np.array([_parities(s) for s in found], np.int64).reshape(len(found), BITMAP)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_set_id(s) for s in found], pa.int64()), *[pa.array(np.ascontiguousarray(b)) for b in bits.T], pa.array([s.tobytes() for s in found], pa.binary())], names=["c", *BITS, "shingles"]
+                )
 
     rows = docs.select("text", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("key"))
-    return rows.join(_bounded(keys), "key", "left_semi").select("text").mapInArrow(run, "c long, shingles binary")
+    return rows.join(_bounded(keys), "key", "left_semi").select("text").mapInArrow(run, "c long, " + "".join(f"{b} long, " for b in BITS) + "shingles binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -141,7 +164,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def prefix_pairs(open_sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different roots that share a shingle within the prefixes which their sizes and percent call for.
 
-    open_sets: c, n, root, shingles.  Exact: similar sets x <= y share at least p / (1 + p) * (x + y) shingles, so in any
+    open_sets: c, n, root, bits, shingles.  Exact: similar sets x <= y share at least p / (1 + p) * (x + y) shingles, so in any
     common order each has one of them among its first size - that + 1.  Rare shingles come first, so that sets that
     differ in their own edits of a shared text hardly meet.  Size classes keep the prefixes short.
     """
@@ -150,11 +173,11 @@ def prefix_pairs(open_sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c, n, root, s in zip(*[b.column(i).to_pylist() for i in range(4)]):
+            for c, n, s in zip(*[b.column(i).to_pylist() for i in range(3)]):
                 s = np.frombuffer(s, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), x), pa.int64()) for x in (c, n, root)] + [pa.array(s)], names=["c", "n", "root", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), x), pa.int64()) for x in (c, n)] + [pa.array(s)], names=["c", "n", "s"])
 
-    tokens = open_sets.select("c", "n", "root", "shingles").mapInArrow(run, "c long, n long, root long, s long")
+    tokens = open_sets.select("c", "n", "shingles").mapInArrow(run, "c long, n long, s long")
     shared = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     from pyspark.sql import Window as W
 
@@ -166,9 +189,10 @@ def prefix_pairs(open_sets: DataFrame, percent: int) -> DataFrame:
     partner = F.when(F.col("d") > 0, F.greatest(F.col("n").cast("double"), least)).otherwise(F.greatest(F.col("n") * p, least))
     need = F.ceil((F.col("n") + partner) * (p / (1 + p)) - 1e-6)
     dealt = dealt.where(F.col("rank") <= F.col("n") - need + 1)
-    x = dealt.where("d >= 0").select("s", "size", "d", F.col("c").alias("xc"), F.col("n").alias("xn"), F.col("root").alias("xr"))
-    y = dealt.where("d <= 0").select("s", (F.col("size") + F.col("d")).alias("size"), (-F.col("d")).alias("d"), F.col("c").alias("yc"), F.col("n").alias("yn"), F.col("root").alias("yr"))
-    met = x.join(y, ["s", "size", "d"]).where((F.col("xr") != F.col("yr")) & ((F.col("d") > 0) | (F.col("xc") < F.col("yc"))) & _sizes_allow("xn", "yn", percent))
+    dealt = dealt.select("c", "s", "size", "d").join(open_sets.drop("shingles"), "c")
+    x = _named(dealt.where("d >= 0"), "x", "s", "size", "d")
+    y = _named(dealt.where("d <= 0"), "y", "s", (F.col("size") + F.col("d")).alias("size"), (-F.col("d")).alias("d"))
+    met = x.join(y, ["s", "size", "d"]).where((F.col("xroot") != F.col("yroot")) & ((F.col("d") > 0) | (F.col("xc") < F.col("yc"))) & _may_be_similar("x", "y", percent))
     return met.select(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b")).distinct()
 
 
@@ -205,6 +229,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, coords: int, rows: int)
     involved = members.select("c").distinct()
     keys = scratch.save(feats.select("c", "key").join(involved, "c", "left_semi").groupBy("c").agg(F.min("key").alias("key")).select("key"))
     sets = scratch.save(_sets(docs, keys, width))
+    if sets.select("c").distinct().count() < sets.count():  # a doc_id that stands more than once
+        sets = scratch.save(sets.dropDuplicates(["c"]))
     links = scratch.save(verify(stars, sets, percent))
     roots = scratch.save(components(links, scratch))
 
@@ -212,9 +238,9 @@ def _grouped(docs: DataFrame, width: int, percent: int, coords: int, rows: int)
     disputed = scratch.save(rooted.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("bucket", "k"))
     if not disputed.isEmpty():
         open_rows = rooted.join(_bounded(disputed), "bucket")
-        few = open_rows.where(F.col("k") <= SMALL).where("c <> hub").select("bucket", "c", "n", "root")
-        x, y = few.toDF("bucket", "a", "an", "ar"), few.toDF("bucket", "b", "bn", "br")
-        pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _sizes_allow("an", "bn", percent)).select("a", "b").distinct()
+        few = open_rows.where(F.col("k") <= SMALL).where("c <> hub").select("bucket", "c", "n", "root").join(sets.drop("shingles"), "c")
+        met = _named(few, "x", "bucket").join(_named(few, "y", "bucket"), "bucket").where((F.col("xc") < F.col("yc")) & (F.col("xroot") != F.col("yroot")) & _may_be_similar("x", "y", percent))
+        pairs = met.select(F.col("xc").alias("a"), F.col("yc").alias("b")).distinct()
         large = open_rows.where(F.col("k") > SMALL).select("c", "n", "root").distinct()
         pairs = pairs.unionByName(prefix_pairs(large.join(sets, "c"), percent)).distinct()
         more = scratch.save(verify(scratch.save(pairs), sets, percent))
