@@ -1,9 +1,12 @@
 """BPE encoding and decoding through a table of the corpus' distinct words.
 
-Encoding: documents are split into words in Spark, every distinct word is encoded once, and the ids are
-joined back at the words' positions.  The most frequent words (at most FREQUENT of bounded length) are
-broadcast; the other words reach their documents by a shuffled join, so neither vocabulary nor any one
-word's frequency limits the operator.  Decoding: ids are joined with the id-to-piece table, whose size the
+Encoding: documents are split into words in Spark, every distinct word is encoded once, and the ids are joined back at the
+words' positions.  The table has two parts.  Words that are frequent in SAMPLE documents (at most FREQUENT, of bounded
+length) are encoded first and broadcast; the sample decides nothing else.  Documents become word numbers: ranks of those
+words, and places in the document's own list of other words.  The other words of all documents are dealt by word and
+sorted, each distinct one is encoded where its first row comes by, and the ids go back to their documents by a shuffled
+join.  A word that is frequent anywhere is in the first part, so no word fills a task; texts are not shuffled.
+Decoding: ids are joined with the id-to-piece table, whose size the
 tokenizer fixes.
 
 Defined cases: null text counts as empty; no words give no ids and the empty decoded text; repeated rows are
@@ -19,17 +22,19 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strainlake.llm._common import Scratch, field, map_texts
 
 #: Words that are broadcast at most, and the largest length and number of ids of each: 262,144 * (48 + 4 * 24) bytes at most.
 FREQUENT, FREQUENT_BYTES, FREQUENT_IDS = 1 << 18, 48, 24
-#: Distinct words that a task counts before it hands the counts on.
-COUNTED_AT_ONCE = 300_000
+#: Documents, chosen by a hash, in which frequent words are counted, and distinct words that a task counts at once.
+SAMPLE, COUNTED_AT_ONCE = 30_000, 300_000
 #: Marks a special token in the word list; no word can hold a space.
 SPECIAL = " "
 # Fixed value: the pattern by which the tokenizer splits normalised text.
@@ -125,22 +130,26 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
     return map_texts(counted, "word", [field("ids", "binary")], lambda: lambda ws, f=encode_word(path): [[f(w) for w in ws]])
 
 
-def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, sample: int = SAMPLE, keep_text: bool = True) -> DataFrame:
     """docs with ids (binary: little-endian unsigned 32-bit integers of the whole text)."""
     spark = docs.sparkSession
+    share = sample / max(1, docs.count())
+    drawn = docs.where(F.pmod(F.xxhash64(F.lit("words"), "text"), F.lit(1 << 30)) < share * (1 << 30)) if share < 1 else docs
     scratch = Scratch(spark)
-    table = scratch.save(word_table(docs, path))
+    table = scratch.save(word_table(drawn, path))
     short = (F.octet_length("word") <= FREQUENT_BYTES) & (F.octet_length("ids") <= 4 * FREQUENT_IDS)
     top = table.where(short).orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids")
-    known = {r.word: bytes(r.ids) for r in top.toLocalIterator()} if frequent else {}
+    known = [(r.word, bytes(r.ids)) for r in top.toLocalIterator()] if frequent else []
+    every = share >= 1 and table.count() <= len(known)
+    scratch.drop()
     common = spark.sparkContext.broadcast(known)
-    if table.count() <= len(known):
-        scratch.drop()
-        return map_texts(docs, "text", [field("ids", "binary")], lambda: joined(path, common.value))
-    return _with_rest(docs, path, table, common)
+    if every:
+        out = map_texts(docs, "text", [field("ids", "binary")], lambda: _joined(path, dict(common.value)))
+        return out if keep_text else out.drop("text")
+    return _with_others(docs, path, common, keep_text)
 
 
-def joined(path: str, known: dict[str, bytes]):
+def _joined(path: str, known: dict[str, bytes]):
     words = split_words(path)
 
     def run(texts: list) -> list[list]:
@@ -150,39 +159,81 @@ def joined(path: str, known: dict[str, bytes]):
     return run
 
 
-def _with_rest(docs: DataFrame, path: str, table: DataFrame, common) -> DataFrame:
-    """Words beyond the broadcast ones are joined by word, gathered for each distinct text, and put in place."""
+def _numbered(path: str, known: list[tuple[str, bytes]]):
+    """Function from a text to its words' numbers and to its other words: known words' ranks, then places in that list."""
+    words, rank, first = split_words(path), {w: i for i, (w, _) in enumerate(known)}, len(known)
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = split_words(path), common.value
+    def run(text: str | None) -> tuple[list[int], list[str]]:
+        own: dict[str, int] = {}
+        numbers = []
+        for w in words(text):
+            n = rank.get(w)
+            numbers.append(own.setdefault(w, first + len(own)) if n is None else n)
+        return numbers, list(own)
+
+    return run
+
+
+def _with_others(docs: DataFrame, path: str, common, keep_text: bool) -> DataFrame:
+    """Words beyond the broadcast ones are encoded once each, gathered for each document, and put in place."""
+    import zstandard
+
+    docs = docs.drop("ids")
+    key = {"__key": F.xxhash64(F.col("text")), **({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))} if "doc_id" in docs.columns else {})}
+    keys = list(key)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbered = _numbered(path, common.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                found = [numbered(t)[1] for t in b.column(0).to_pylist()]
+                row = pa.array([i for i, ws in enumerate(found) for _ in ws], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(k).take(row) for k in range(1, len(keys) + 1)] + [pa.array([k for ws in found for k in range(len(ws))], pa.int32()), pa.array([w for ws in found for w in ws], pa.string())],
+                    names=[*keys, "k", "word"],
+                )
+
+    keyed = docs.withColumns(key)
+    pairs = keyed.select("text", *keys).mapInArrow(others, ", ".join(f"{k} {'long' if k == '__key' else 'string'}" for k in keys) + ", k int, word string")
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, last, ids = encode_word(path), None, b""
         for b in batches:
-            out = [(k, w) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in set(words(t)) if w not in known]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([w for _, w in out], pa.string())], names=["__key", "word"])
-
-    key = F.xxhash64(F.col("text"))
-    pairs = docs.select(key.alias("__key"), "text").mapInArrow(rest, "__key long, word string")
-    found = pairs.join(table.select("word", "ids"), "word").groupBy("__key").agg(F.collect_set(F.struct("word", "ids")).alias("__rest"))
-    both = docs.drop("ids").withColumn("__key", key).join(found, "__key", "left")
-    names = [f.name for f in both.schema.fields]
-    kept = [c for c in names if c not in ("__key", "__rest")]
-    schema = docs.drop("ids").schema
-    out_schema = type(schema)([schema[c] for c in kept] + [field("ids", "binary")])
+            out = []
+            for w in b.column(len(keys) + 1).to_pylist():
+                if w != last:
+                    last, ids = w, one(w)
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[*keys, "k", "ids"])
+
+    ids_schema = T.StructType([*pairs.schema.fields[:-1], field("ids", "binary")])
+    found = pairs.repartition("word").sortWithinPartitions("word").mapInArrow(encoded, ids_schema).groupBy(*keys).agg(F.collect_list(F.struct("k", "ids")).alias("__others"))
+
+    def number():
+        numbered, packed = _numbered(path, common.value), zstandard.ZstdCompressor(3)
+        return lambda texts: [[packed.compress(np.array(numbered(t)[0], "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for t in texts]]
+
+    coded = map_texts(keyed, "text", [field("__numbers", "binary")], number)
+    both = (coded if keep_text else coded.drop("text")).join(found, keys, "left")
+    names = both.columns
+    kept = [c for c in names if c not in (*keys, "__numbers", "__others")]
+    out_schema = T.StructType([both.schema[c] for c in kept] + [field("ids", "binary")])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, one = split_words(path), common.value, encode_word(path)
+        ids, unpacked = [i for _, i in common.value], zstandard.ZstdDecompressor()
+        first = len(ids)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 out = []
-                for text, own in zip(b.column(names.index("text")).to_pylist(), b.column(names.index("__rest")).to_pylist()):
-                    own = {r["word"]: r["ids"] for r in own or ()}
-                    parts = []
-                    for w in words(text):
-                        got = known.get(w)
-                        if got is None and (got := own.get(w)) is None:  # two texts share a key
-                            got = own[w] = one(w)
-                        parts.append(got)
-                    out.append(b"".join(parts))
+                for packed, own in zip(b.column(names.index("__numbers")).to_pylist(), b.column(names.index("__others")).to_pylist()):
+                    numbers = np.frombuffer(unpacked.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().tolist()
+                    if own:
+                        mine = {first + r["k"]: r["ids"] for r in own}
+                        out.append(b"".join([ids[n] if n < first else mine[n] for n in numbers]))
+                    else:
+                        out.append(b"".join(map(ids.__getitem__, numbers)))
                 yield pa.RecordBatch.from_arrays([b.column(names.index(c)) for c in kept] + [pa.array(out, pa.binary())], names=[*kept, "ids"])
 
     return both.mapInArrow(place, out_schema)
@@ -192,8 +243,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with decoded (string): the pieces of its ids, joined as the tokenizer's decode() joins them."""
 
     def make():
-        import numpy as np
-
         t = tokenizer(path)
         pieces = [t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))]
         if t.decoder is not None:
@@ -203,9 +252,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_texts(encoded, "ids", [field("decoded", "string")], make)
 
 
-def digests(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
+def digests(docs: DataFrame, path: str, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    done = decode(encode(docs.select("doc_id", "text"), path, frequent).drop("text"), path)
+    done = decode(encode(docs.select("doc_id", "text"), path, frequent, sample, keep_text=False), path)
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
