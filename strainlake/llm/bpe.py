@@ -16,6 +16,7 @@ kept; input columns named as an output column make way.
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 import unicodedata
 from collections import Counter
@@ -37,12 +38,30 @@ FREQUENT, FREQUENT_BYTES, FREQUENT_IDS = 1 << 18, 48, 24
 SAMPLE, COUNTED_AT_ONCE = 30_000, 300_000
 #: Marks a special token in the word list; no word can hold a space.
 SPECIAL = " "
-# Fixed value: the pattern by which the tokenizer splits normalised text.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 #: Characters on which all Unicode versions since 3.2 agree; texts with others are split by the library itself.
 SETTLED = r"\x00-\u0557\u2010-\u2027\u2030-\u2046\u20ac\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
-UNSETTLED = regex.compile(f"[^{SETTLED}]")
+UNSETTLED = re.compile(f"[^{SETTLED}]")
+
+
+@cache
+def settled_class(prop: str) -> str:
+    r"""Character ranges of the settled characters with a property such as \p{L}, for the standard library's faster patterns."""
+    has, ranges = regex.compile(prop), []
+    for c in range(0xD800):
+        if has.fullmatch(chr(c)) and not UNSETTLED.match(chr(c)):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges)
+
+
+@cache
+def settled_words() -> re.Pattern:
+    """The pattern by which the tokenizer splits normalised text, for texts of settled characters."""
+    letter, digit, blank = (settled_class(p) for p in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{blank}{letter}{digit}]+")
 
 
 def byte_letters() -> list[str]:
@@ -79,9 +98,12 @@ def split_words(path: str):
     cut = regex.compile("(" + "|".join(map(regex.escape, sorted(own, key=len, reverse=True))) + ")")
     some = next(iter(own))[:2]
 
+    find = settled_words().findall
+
     def plain(text: str) -> list[str]:
-        if not UNSETTLED.search(text):
-            return WORD.findall(lowered(text))
+        low = lowered(text)
+        if not UNSETTLED.search(text) and not UNSETTLED.search(low):
+            return find(low)
         parts = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))
         return [bytes(back[c] for c in w).decode() for w, _ in parts]
 
@@ -183,11 +205,11 @@ def _with_others(docs: DataFrame, path: str, common, keep_text: bool) -> DataFra
     keys = list(key)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered = _numbered(path, common.value)
+        words, rank = split_words(path), {w for w, _ in common.value}
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                found = [numbered(t)[1] for t in b.column(0).to_pylist()]
+                found = [list(dict.fromkeys([w for w in words(t) if w not in rank])) for t in b.column(0).to_pylist()]
                 row = pa.array([i for i, ws in enumerate(found) for _ in ws], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(k).take(row) for k in range(1, len(keys) + 1)] + [pa.array([k for ws in found for k in range(len(ws))], pa.int32()), pa.array([w for ws in found for w in ws], pa.string())],

@@ -11,6 +11,7 @@ an output column makes way.  Workers remember at most 2 * REMEMBERED pieces.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 
 import regex
@@ -18,14 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strainlake.llm._common import field, map_texts
-from strainlake.llm.bpe import UNSETTLED, byte_letters, specials, tokenizer
+from strainlake.llm.bpe import UNSETTLED, byte_letters, settled_class, specials, tokenizer
 
 #: Pieces (and pairs) in each of the two generations that a worker keeps; what is asked for again moves to the younger.
 REMEMBERED = 500_000
 #: Longest piece, in bytes, whose prefix counts are remembered.
 SHORT = 64
-# Fixed value: the pattern by which the tokenizer splits text.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def settled_pieces() -> re.Pattern:
+    """The pattern by which the tokenizer splits text, for texts of settled characters."""
+    letter, digit, blank = (settled_class(p) for p in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[^{blank}{letter}{digit}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
 
 
 class PrefixCounter:
@@ -42,6 +47,7 @@ class PrefixCounter:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.find = settled_pieces().findall
 
     def _stays(self, last: str, token: str) -> bool:
         """Whether the merges leave the two tokens alone next to each other ('' before the first)."""
@@ -90,7 +96,7 @@ class PrefixCounter:
 
     def _plain(self, text: str) -> list[str]:
         if not UNSETTLED.search(text):
-            return PIECE.findall(text)
+            return self.find(text)
         return [bytes(self.back[c] for c in w).decode() for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(text)]
 
     def total(self, piece: str) -> int:
