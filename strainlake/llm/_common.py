@@ -32,6 +32,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/strainlake-{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -56,11 +57,23 @@ def extended(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() not in new] + list(fields))
 
 
+#: Rows that Spark hands to a Python worker at once, at most: texts can be long, and several copies of a batch are alive at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS; smaller ones stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
     """Adds columns computed from a batch of one column's values; ``make`` runs once in each worker.
 
     The function gets a list of values and returns one list for each new field.
     """
+    small_batches(df.sparkSession)
     schema = extended(df.schema, *fields)
     keep = [f.name for f in schema.fields[: len(schema.fields) - len(fields)]]
     types = [arrow_type(f.dataType) for f in fields]
