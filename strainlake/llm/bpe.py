@@ -161,16 +161,24 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, sample: int = S
     table = scratch.save(word_table(drawn, path))
     short = (F.octet_length("word") <= FREQUENT_BYTES) & (F.octet_length("ids") <= 4 * FREQUENT_IDS)
     top = table.where(short).orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids")
-    known = [(r.word, bytes(r.ids)) for r in top.toLocalIterator()] if frequent else []
-    every = share >= 1 and table.count() <= len(known)
+    known = top.toArrow()  # columns, so that neither the driver nor the broadcast holds an object for each word
+    every = share >= 1 and table.count() <= known.num_rows
     scratch.drop()
     common = spark.sparkContext.broadcast(known)
     if every:
-        out = map_texts(docs, "text", [field("ids", "binary")], lambda: _joined(path, dict(common.value)))
+        out = map_texts(docs, "text", [field("ids", "binary")], lambda: _joined(path, dict(zip(_words(common), _ids(common)))))
         return out if keep_text else out.drop("text")
     return _with_others(docs, path, common, keep_text)
 
 
+def _words(common) -> list[str]:
+    return common.value["word"].to_pylist()
+
+
+def _ids(common) -> list[bytes]:
+    return common.value["ids"].to_pylist()
+
+
 def _joined(path: str, known: dict[str, bytes]):
     words = split_words(path)
 
@@ -181,9 +189,9 @@ def _joined(path: str, known: dict[str, bytes]):
     return run
 
 
-def _numbered(path: str, known: list[tuple[str, bytes]]):
+def _numbered(path: str, known: list[str]):
     """Function from a text to its words' numbers and to its other words: known words' ranks, then places in that list."""
-    words, rank, first = split_words(path), {w: i for i, (w, _) in enumerate(known)}, len(known)
+    words, rank, first = split_words(path), {w: i for i, w in enumerate(known)}, len(known)
 
     def run(text: str | None) -> tuple[list[int], list[str]]:
         own: dict[str, int] = {}
@@ -205,7 +213,7 @@ def _with_others(docs: DataFrame, path: str, common, keep_text: bool) -> DataFra
     keys = list(key)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rank = split_words(path), {w for w, _ in common.value}
+        words, rank = split_words(path), set(_words(common))
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -233,7 +241,7 @@ def _with_others(docs: DataFrame, path: str, common, keep_text: bool) -> DataFra
     found = pairs.repartition("word").sortWithinPartitions("word").mapInArrow(encoded, ids_schema).groupBy(*keys).agg(F.collect_list(F.struct("k", "ids")).alias("__others"))
 
     def number():
-        numbered, packed = _numbered(path, common.value), zstandard.ZstdCompressor(3)
+        numbered, packed = _numbered(path, _words(common)), zstandard.ZstdCompressor(3)
         return lambda texts: [[packed.compress(np.array(numbered(t)[0], "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for t in texts]]
 
     coded = map_texts(keyed, "text", [field("__numbers", "binary")], number)
@@ -243,7 +251,7 @@ def _with_others(docs: DataFrame, path: str, common, keep_text: bool) -> DataFra
     out_schema = T.StructType([both.schema[c] for c in kept] + [field("ids", "binary")])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unpacked = [i for _, i in common.value], zstandard.ZstdDecompressor()
+        ids, unpacked = _ids(common), zstandard.ZstdDecompressor()
         first = len(ids)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
