@@ -1,14 +1,18 @@
-"""Adaptive order-k coding of base sequences into bytes, one document at a time, and its container.
+"""Adaptive order-k coding of base sequences and files into bytes, one document at a time, and its container.
 
 The model is the interpolated one whose code length ``signal.code_length`` gives; its probabilities drive a carry-less range
-coder of 32 bits.  A document is coded sequentially, documents in parallel.
+coder of 32 bits.  With buckets, contexts also hold the sector of the sum of the bases before (``signal.buckets``).  A document
+is coded sequentially, documents in parallel.
 """
 
 from __future__ import annotations
 
+import bz2
 import json
+import lzma
+import math
 import struct
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,15 +24,26 @@ from strainlake.functions import dna
 # Fixed value: first bytes of the container.
 MAGIC = b"PQC1"
 _SCALE, _TOP, _FULL = 1 << 16, 1 << 24, (1 << 32) - 1
+#: Suffixes of a container and of what is restored from a file without that one.
+PACKED, RESTORED = ".pqc", ".out"
 
 
 class _Adaptive:
-    def __init__(self, order: int, alpha: float):
+    def __init__(self, order: int, alpha: float, buckets: int = 0, window: int = 64):
         self.order, self.alpha, self.past = order, alpha, [0] * order
         self.counts = [defaultdict(lambda: [0, 0, 0, 0]) for _ in range(order + 1)]
+        self.buckets, self.window, self.recent, self.at = buckets, window, deque(), [0, 0]
+
+    def bucket(self) -> int:
+        """Sector of the sum of the bases before, each a quarter turn after the last in the order A, C, G, T; 0 for none."""
+        if not self.buckets or self.at == [0, 0]:
+            return 0
+        turn = (math.atan2(self.at[1], self.at[0]) + 2 * math.pi) % (2 * math.pi)
+        return int(turn * self.buckets / (2 * math.pi)) % self.buckets
 
     def _contexts(self) -> list[list[int]]:
-        return [self.counts[o][tuple(self.past[:o])] for o in range(self.order + 1)]
+        b = self.bucket()
+        return [self.counts[o][(b, *self.past[:o])] for o in range(self.order + 1)]
 
     def cumulative(self) -> list[int]:
         """Integer bounds of the four symbols in [0, _SCALE], each symbol at least 1 wide."""
@@ -45,11 +60,17 @@ class _Adaptive:
     def learn(self, symbol: int) -> None:
         for c in self._contexts():
             c[symbol] += 1
-        self.past = [symbol, *self.past[:-1]]
+        self.past = [symbol, *self.past][: self.order]
+        if self.buckets:
+            self.recent.append(symbol)
+            self.at[symbol & 1] += 1 if symbol < 2 else -1
+            if len(self.recent) > self.window:
+                old = self.recent.popleft()
+                self.at[old & 1] -= 1 if old < 2 else -1
 
 
-def encode_symbols(symbols: list[int], order: int = 4, alpha: float = 1.0) -> bytes:
-    model, low, width, out = _Adaptive(order, alpha), 0, _FULL, bytearray()
+def encode_symbols(symbols: list[int], order: int = 4, alpha: float = 1.0, buckets: int = 0, window: int = 64) -> bytes:
+    model, low, width, out = _Adaptive(order, alpha, buckets, window), 0, _FULL, bytearray()
     for s in symbols:
         bounds = model.cumulative()
         unit = width // _SCALE
@@ -69,8 +90,8 @@ def encode_symbols(symbols: list[int], order: int = 4, alpha: float = 1.0) -> by
     return bytes(out)
 
 
-def decode_symbols(data: bytes, n: int, order: int = 4, alpha: float = 1.0) -> list[int]:
-    model, low, width, out = _Adaptive(order, alpha), 0, _FULL, []
+def decode_symbols(data: bytes, n: int, order: int = 4, alpha: float = 1.0, buckets: int = 0, window: int = 64) -> list[int]:
+    model, low, width, out = _Adaptive(order, alpha, buckets, window), 0, _FULL, []
     code, at = int.from_bytes(data[:4], "big"), 4
     for _ in range(n):
         bounds = model.cumulative()
@@ -92,18 +113,68 @@ def decode_symbols(data: bytes, n: int, order: int = 4, alpha: float = 1.0) -> l
     return out
 
 
-def pack(symbols: list[int], order: int = 4, alpha: float = 1.0, **header) -> bytes:
+def pack(symbols: list[int], order: int = 4, alpha: float = 1.0, buckets: int = 0, window: int = 64, **header) -> bytes:
     """Container: magic, header length, compact JSON header, payload."""
-    head = json.dumps({"n": len(symbols), "k": order, "alpha": alpha, **header}, separators=(",", ":")).encode()
-    return MAGIC + struct.pack("<I", len(head)) + head + encode_symbols(symbols, order, alpha)
+    mode = "polar" if buckets else "plain"
+    head = {"version": 1, "mode": mode, "k": order, "alpha": alpha, "block_size": window, "n_buckets": buckets, "n_ids": len(symbols), **header}
+    text = json.dumps(head, separators=(",", ":")).encode()
+    return MAGIC + struct.pack("<I", len(text)) + text + encode_symbols(symbols, order, alpha, buckets, window)
 
 
 def unpack(data: bytes) -> tuple[dict, list[int]]:
-    if data[:4] != MAGIC:
+    """Header and symbols of a container; ValueError for anything else."""
+    if len(data) < 8 or data[:4] != MAGIC:
         raise ValueError("no such container")
     size = struct.unpack("<I", data[4:8])[0]
     head = json.loads(data[8 : 8 + size])
-    return head, decode_symbols(data[8 + size :], head["n"], head["k"], head["alpha"])
+    if head["mode"] not in ("plain", "polar"):
+        raise ValueError(f"unknown mode {head['mode']}")
+    return head, decode_symbols(data[8 + size :], head["n_ids"], head["k"], head["alpha"], head["n_buckets"], head["block_size"])
+
+
+def pack_files(files: DataFrame, order: int = 4, alpha: float = 1.0, buckets: int = 8, window: int = 64) -> DataFrame:
+    """path (with the container's suffix), raw_bytes, packed_bytes, packed of files (path, content); four symbols a byte, no buckets for the plain mode."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for path, raw in zip(p["path"], p["content"]):
+                symbols = [byte >> shift & 3 for byte in raw for shift in (6, 4, 2, 0)]
+                packed = pack(symbols, order, alpha, buckets, window, n_bytes=len(raw), source_name=path.rpartition("/")[2])
+                yield pd.DataFrame({"path": [path + PACKED], "raw_bytes": [len(raw)], "packed_bytes": [len(packed)], "packed": [packed]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, raw_bytes long, packed_bytes long, packed binary")
+
+
+def unpack_files(files: DataFrame, content: str = "packed") -> DataFrame:
+    """path (without the container's suffix, else with another), content of containers."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for path, packed in zip(p["path"], p["content"]):
+                head, s = unpack(bytes(packed))
+                raw = bytes(s[i] << 6 | s[i + 1] << 4 | s[i + 2] << 2 | s[i + 3] for i in range(0, len(s) - 3, 4))
+                if len(raw) != head["n_bytes"]:
+                    raise ValueError(f"{path}: {len(raw)} bytes instead of {head['n_bytes']}")
+                yield pd.DataFrame({"path": [path.removesuffix(PACKED) if path.endswith(PACKED) else path + RESTORED], "content": [raw]})
+
+    return files.select("path", F.col(content).alias("content")).mapInPandas(run, "path string, content binary")
+
+
+def sizes(docs: DataFrame, key: str, seq: str, order: int = 4, higher: int = 6, buckets: tuple[int, ...] = (4, 8, 16)) -> DataFrame:
+    """key, n, method, bytes, bits_per_base, times_smaller (than two bits a base; null for no bases) of each document's cleaned sequence."""
+    cleaned = docs.select(F.col(key).alias("key"), dna.clean(F.coalesce(F.col(seq), F.lit(""))).alias("seq"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for one, text in zip(p["key"], p["seq"]):
+                ids, raw = ["ACGT".index(c) for c in text], text.encode()
+                found = {"two_bit": (len(ids) + 3) // 4, "bz2": len(bz2.compress(raw)), "lzma": len(lzma.compress(raw))}
+                found |= {f"plain_{k}": len(encode_symbols(ids, k)) for k in (order, higher)}
+                found |= {f"polar_{order}_{b}": len(encode_symbols(ids, order, buckets=b)) for b in buckets}
+                yield pd.DataFrame({"key": one, "n": len(ids), "method": list(found), "bytes": list(found.values())})
+
+    out = cleaned.mapInPandas(run, f"key {docs.schema[key].dataType.simpleString()}, n long, method string, bytes long").withColumnRenamed("key", key)
+    return out.withColumns({"bits_per_base": F.try_divide(F.col("bytes") * 8.0, F.col("n")), "times_smaller": F.when(F.col("n") > 0, F.try_divide(F.floor((F.col("n") + 3) / 4).cast("double"), F.col("bytes")))})
 
 
 def compress(docs: DataFrame, key: str, seq: str, order: int = 4) -> DataFrame:

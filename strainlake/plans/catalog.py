@@ -482,3 +482,10 @@ def model_scores(spark, sf_dir):
     features = outbreak_features(labels.outbreak(rows))
     learn, test = labels.split_by_time(features, 1998)
     return fit(learn).transform(test).select("Country", "YearMonth", "Master", "Outbreak", "Probability")
+
+
+@query()
+def codec_sizes(spark, sf_dir):
+    from strainlake.operators.codec import sizes
+
+    return sizes(a.table(spark, sf_dir, "benchmark"), "item_id", "text")

@@ -138,7 +138,8 @@ def test_codec():
     for n in (0, 1, 5, 3000):
         symbols = [rng.choice([0, 0, 0, 1, 2, 3]) for _ in range(n)]
         head, back = codec.unpack(codec.pack(symbols, 3))
-        assert back == symbols and head["n"] == n
+        assert back == symbols and head["n_ids"] == n
+        assert codec.unpack(codec.pack(symbols, 2, buckets=8, window=16))[1] == symbols and codec.unpack(codec.pack(symbols, 0))[1] == symbols
     with pytest.raises(ValueError):
         codec.unpack(b"nope")
 
@@ -151,6 +152,28 @@ def test_code_length_is_what_the_coder_takes(spark):
     assert bits / 8 <= packed <= bits / 8 * 1.02 + 8
 
 
+def test_polar_code_length_is_what_the_coder_takes(spark):
+    seq = "ACGT" * 200 + "AAAA" * 50 + "GGTC" * 90
+    rows = signal.buckets(signal.symbols(spark.createDataFrame([(1, seq)], "k long, s string"), "k", "s"))
+    bits = signal.code_length(rows, 3, by=("bucket",)).first().bits
+    packed = len(codec.encode_symbols(["ACGT".index(c) for c in seq], 3, buckets=8))
+    assert bits / 8 <= packed <= bits / 8 * 1.02 + 8
+
+
+def test_packed_files(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(bytes(range(256)) * 2)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    files = files.unionByName(spark.createDataFrame([("x/b", b"")], "path string, content binary"))  # Spark's reader skips empty files
+    for buckets in (0, 8):
+        packed = codec.pack_files(files, buckets=buckets)
+        back = {r.path.rpartition("/")[2]: bytes(r.content) for r in codec.unpack_files(packed).collect()}
+        assert back == {"a.bin": bytes(range(256)) * 2, "b": b""}
+    with pytest.raises(Exception, match="no such container"):
+        codec.unpack_files(files, "content").collect()
+    got = {r.method: r for r in codec.sizes(spark.createDataFrame([(1, "ACGT" * 100)], "k long, s string"), "k", "s").collect()}
+    assert got["two_bit"].bytes == 100 and got["two_bit"].times_smaller == 1 and got["plain_4"].bytes < 40 and set(got) == {"two_bit", "bz2", "lzma", "plain_4", "plain_6", "polar_4_4", "polar_4_8", "polar_4_16"}
+
+
 def test_motif_and_selection(spark):
     with pytest.raises(ValueError):
         signal.motif_hits(None, "ACG")
