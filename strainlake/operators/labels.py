@@ -72,3 +72,9 @@ def split_by_time(rows: DataFrame, target: int, training: list[int] | None = Non
     """Rows to learn from (the training years, else all years before target) and rows of the target year."""
     learn = rows.where(F.col("Year").isin(training)) if training else rows.where(F.col("Year") < target)
     return learn, rows.where(F.col("Year") == target)
+
+
+def split_by_key(rows: DataFrame, key: str, share: float = 0.98, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows to learn from (about that share) and to test on, by a hash of seed and key, so that reruns agree; a null key is a key."""
+    at = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30))
+    return rows.where(at < share * (1 << 30)), rows.where(at >= share * (1 << 30))

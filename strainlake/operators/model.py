@@ -27,7 +27,22 @@ class Model:
         return self.fitted.transform(rows).withColumn("Probability", vector_to_array("__both")[1]).drop("features", "rawPrediction", "__both", "prediction")
 
 
-def fit(rows: DataFrame, label: str = "Outbreak", size: int = 1 << 12, rounds: int = 20) -> Model:
-    hasher = FeatureHasher(inputCols=list(FEATURES), outputCol="features", numFeatures=size)
+def fit(rows: DataFrame, label: str = "Outbreak", size: int = 1 << 12, rounds: int = 20, features: tuple[str, ...] = FEATURES) -> Model:
+    hasher = FeatureHasher(inputCols=list(features), outputCol="features", numFeatures=size)
     regression = LogisticRegression(featuresCol="features", labelCol=label, probabilityCol="__both", maxIter=rounds, regParam=0.001)
     return Model(Pipeline(stages=[hasher, regression]).fit(rows.withColumn(label, F.col(label).cast("double"))))
+
+
+def scorer(model: Model):
+    """A scorer of (Country, Month, Accession) for forecast.scan, from a model of Country, Master and Month."""
+
+    def score(rows: DataFrame) -> DataFrame:
+        named = rows.withColumns({"Master": F.col("Accession"), "__month": F.col("Month"), "Month": F.col("Month").cast("string")})
+        return model.transform(named).withColumn("Month", F.col("__month")).drop("__month", "Master")
+
+    return score
+
+
+def point(score, spark, accession: str, country: str, month: int) -> float:
+    """Probability of one strain in one country and month."""
+    return score(spark.createDataFrame([(country, month, accession)], "Country string, Month int, Accession string")).first().Probability

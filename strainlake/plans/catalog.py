@@ -489,3 +489,22 @@ def codec_sizes(spark, sf_dir):
     from strainlake.operators.codec import sizes
 
     return sizes(a.table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query()
+def learned_forecast(spark, sf_dir):
+    """The three best strains of each country and month under a model learned from the years before 1998."""
+    from strainlake.operators import model
+    from strainlake.plans.forecast_run import learned
+
+    rows = a.surveillance(spark, sf_dir)
+    learn, _ = labels.split_by_time(labels.labelled(rows, labels.outbreak(rows)), 1998)
+    best = forecast.scan(rows.select(F.col("Master").alias("Accession")), rows.select("Country"), [1998], model.scorer(learned(learn)))
+    return forecast.annotate_dominant(best.select("Country", "Year", "Month", "Accession", "Probability"))
+
+
+@query("""SELECT user_id, substr(repeat(event_type, CAST(ceil(100.0 / length(event_type)) AS INT)), 1, 100) AS seq FROM events""")
+def tiled_fragments(spark, sf_dir):
+    from strainlake.sources.generators import tiled
+
+    return a.table(spark, sf_dir, "events").select("user_id", tiled(F.col("event_type"), 100).alias("seq"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -10,6 +11,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strainlake.functions.dna import BASES
+from strainlake.operators.signal import BLOCK
+
 #: Bits of ord that count records within a file; files are numbered above them, in order of their paths.
 RECORD_BITS = 40
 
@@ -64,20 +68,27 @@ def read(spark: SparkSession, path: str, max_seqs: int | None = None, preamble:
     return _numbered(rows).select("ord", "id", "header", "seq")
 
 
-def read_fastq_zip(spark: SparkSession, path: str) -> DataFrame:
-    """ord, read_id, seq, quality of the reads of all .fastq members of zip files; four lines a read."""
+def read_fastq_zip(spark: SparkSession, path: str, max_reads: int | None = None, first_member: bool = False) -> DataFrame:
+    """ord, read_id, seq, quality of the reads of .fastq members of zip files; four lines a read.
+
+    max_reads counts the reads of a file that hold a window of bases, and leaves out the others; first_member reads only the first.
+    """
+
+    def reads(z: zipfile.ZipFile) -> Iterator[tuple[str, str, str]]:
+        members = [n for n in z.namelist() if n.endswith(".fastq")]
+        for member in members[:1] if first_member else sorted(members):
+            lines = (x.rstrip("\r\n") for x in io.TextIOWrapper(z.open(member), "utf-8", errors="ignore"))
+            for head, seq, _, quality in zip(lines, lines, lines, lines):
+                if max_reads is None or sum(map(seq.count, BASES)) >= BLOCK:
+                    yield head.removeprefix("@").split(" ")[0], seq, quality
 
     def run(parts):
         import pandas as pd
 
         for p in parts:
             for where, content in zip(p["path"], p["content"]):
-                found = []
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in sorted(n for n in z.namelist() if n.endswith(".fastq")):
-                        lines = [x.rstrip("\r\n") for x in io.TextIOWrapper(z.open(member), "utf-8", errors="ignore")]
-                        for k in range(0, len(lines) - 3, 4):
-                            found.append((where, len(found), lines[k].removeprefix("@").split(" ")[0], lines[k + 1], lines[k + 3]))
+                    found = [(where, n, *r) for n, r in enumerate(itertools.islice(reads(z), max_reads))]
                 yield pd.DataFrame(found, columns=["path", "record", "read_id", "seq", "quality"])
 
     rows = _files(spark, path, "*.zip").mapInPandas(run, "path string, record long, read_id string, seq string, quality string")
@@ -101,6 +112,21 @@ def read_package(spark: SparkSession, path: str, member: str = "genomic.fna") ->
     return _files(spark, path, "*.zip").mapInPandas(run, "path string, name string, text string")
 
 
+#: Column of a package's report, and where its JSON holds it.
+REPORT = {
+    "accession": "accession string", "virus-name": "virus.organismName string", "virus-tax-id": "virus.taxId bigint",
+    "isolate-collection-date": "isolate.collectionDate string", "geo-location": "location.geographicLocation string",
+    "host-name": "host.organismName string", "length": "length bigint", "completeness": "completeness string",
+    "release-date": "releaseDate string", "sourcedb": "sourceDatabase string",
+}
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The ten columns of REPORT of each JSON line of the packages' data_report.jsonl; absent values are null."""
+    lines = read_package(spark, path, "data_report.jsonl").select(F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+    return lines.select(*[F.get_json_object("line", f"$.{where.split()[0]}").cast(where.split()[1]).alias(to) for to, where in REPORT.items()])
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with header, all columns text; numbers and dates are cast where they are used."""
     return spark.read.option("header", True).option("inferSchema", False).csv(path)

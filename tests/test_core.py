@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strainlake.functions import dna, text
-from strainlake.operators import codec, dedup, forecast, growth, labels, signal
-from strainlake.sources import fasta
+from strainlake.operators import codec, dedup, forecast, growth, labels, model, signal
+from strainlake.plans import forecast_run
+from strainlake.sources import fasta, generators, sinks
 from strainlake.sources.remote import Selection
 
 
@@ -192,3 +193,69 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.table("daily").groupBy(F.trunc("day", "MM").alias("month"), "Master").agg(F.sum("n").alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, monthly_counts(events, "ts", "event_type").collect()))
+
+
+def test_fastq_limits(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("x.fastq", "@r1\nAC\n+\nII\n@r2 lane\nACGTACGTNN\n+\nIIIIIIIIII\n@r3\nACGTACGA\n+\nIIIIIIII\n@cut\nAC\n")
+        z.writestr("a.fastq", "@s1\nACGTACGTA\n+\nIIIIIIIII\n")
+    ids = lambda **k: [r.read_id for r in fasta.read_fastq_zip(spark, str(tmp_path / "r.zip"), **k).orderBy("ord").collect()]
+    assert ids() == ["s1", "r1", "r2", "r3"]
+    assert ids(max_reads=1, first_member=True) == ["r2"] and ids(max_reads=5, first_member=True) == ["r2", "r3"] and ids(max_reads=0) == []
+
+
+def test_report(spark, tmp_path):
+    import json
+    import zipfile
+
+    line = {"accession": "A1", "virus": {"organismName": "flu", "taxId": 11320}, "location": {"geographicLocation": "France: Paris"}, "isolate": {"collectionDate": "2024-01"}, "length": 1700}
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("data/data_report.jsonl", json.dumps(line) + "\n\n")
+    row = fasta.read_report(spark, str(tmp_path / "p.zip")).collect()
+    assert len(row) == 1 and len(row[0]) == 10 and (row[0]["virus-tax-id"], row[0]["length"], row[0]["host-name"]) == (11320, 1700, None)
+    assert text.normalize_metadata(fasta.read_report(spark, str(tmp_path / "p.zip"))).first().Country == "France"
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b", ">b x", "GGT"), (0, "a", ">a", "A" * 14), (2, "c", ">c", "")], "ord long, id string, header string, seq string")
+    sinks.write_run_length(rows, str(tmp_path / "r"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == [">a", "ma", ">b x", "oN", ">c", ""]
+    sinks.write_fasta(rows.where("seq <> ''"), str(tmp_path / "f"), 5)
+    back = fasta.read(spark, str(tmp_path / "f"), pattern="part-*").orderBy("ord").collect()
+    assert [(r.id, r.seq) for r in back] == [("a", "A" * 14), ("b", "GGT")]
+    assert max(len(r.value) for r in spark.read.text(str(tmp_path / "f")).collect()) == 5
+
+
+def test_generators(spark):
+    one = generators.drawn(spark, 4, 5000, generators.SKEWED, 7).orderBy("id").collect()
+    assert one == generators.drawn(spark, 4, 5000, generators.SKEWED, 7).repartition(3).orderBy("id").collect()
+    assert len({r.seq for r in one}) == 4 and all(abs(r.seq.count(b) / 5000 - w) < 0.03 for r in one for b, w in zip("ACGT", generators.SKEWED))
+    assert generators.drawn(spark, 1, 0).first().seq == ""
+    df = spark.createDataFrame([("GATTACA",), ("",), (None,)], "f string")
+    assert [r[0] for r in df.select(generators.tiled(F.col("f"), 10)).collect()] == ["GATTACAGAT", None, None]
+
+
+def test_split_by_key(spark):
+    learn, test = labels.split_by_key(spark.range(5000), "id")
+    assert learn.count() + test.count() == 5000 and 50 < test.count() < 150
+
+
+def test_forecast_run(spark, tmp_path):
+    rows = [(f"A{i}", f"{y}-{m:02d}-0{1 + i % 9}", c + ": x", f"t{i % 3}") for i, (y, m, c, _) in enumerate((y, m, c, k) for y in (2023, 2024, 2025) for m in (1, 2, 3) for c in ("France", "USA", "Peru") for k in range(4))]
+    meta = spark.createDataFrame([*rows, ("A0", None, "France", "undated"), ("zz", "2025-01-01", "USA", "in no group")], "Accession string, `Collection Date` string, Country string, title string")
+    groups = spark.createDataFrame([(k, [r[0] for i, r in enumerate(rows) if i % 3 == k]) for k in range(3)], "group_ord int, identifiers array<string>")
+    said = []
+    out = forecast_run.run(meta, groups, str(tmp_path / "f.csv"), top_n=2, progress=lambda m, p: said.append(p))
+    assert (out["train_rows"], out["test_rows"], out["rows"], out["target_year"]) == (72, 36, 2 * 6 * 12 * 2, 2025) and said[-1] == 100
+    shown = spark.read.option("header", True).csv(str(tmp_path / "f.csv"))
+    assert shown.count() == out["rows"] and {r.Country for r in shown.collect()} == {"France", "USA"}
+    compared = spark.read.option("header", True).csv(out["dominant_backtest_csv"])
+    assert out["dominant_backtest_csv"] == str(tmp_path / "f_dominant_backtest_2025.csv") and compared.count() == 9 and "Actual_Title" in compared.columns
+    score = lambda d: d.withColumn("Probability", F.when(F.col("Accession") == "A1", 0.9).otherwise(0.1))
+    out = forecast_run.run(meta, groups, str(tmp_path / "g.csv"), ["Peru"], [2026], backtest_year=2026, scorer=score)
+    assert (out["test_rows"], out["rows"], out["dominant_backtest_csv"], out["new_forecast_dna_count"]) == (0, 36, None, 0)
+    with pytest.raises(ValueError):
+        forecast_run.run(meta, groups, str(tmp_path / "h.csv"), backtest_year=2023)
+    assert model.point(score, spark, "A1", "Peru", 3) == 0.9
