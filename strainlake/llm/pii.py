@@ -1,14 +1,14 @@
-"""Personal data: patterns, and the terms around them that give them away.
+"""Personal data: patterns, and the terms beside them that give them away.
 
 Protected entities (e-mail and IP addresses, card and phone numbers) are found by patterns.  Over the whole corpus, terms
-that stand near an entity are counted with it; the information a term has on it, log(p(e, t) / (p(e) p(t))), against all there is
-to know, log(1 / p(e)), says how far the term discloses it.  Terms beyond THRESHOLD, seen with the entity in at least SUPPORT
-different texts, become spans of kind ``term`` near that entity, in every document that holds it.  Redaction removes entities
-and generalises terms.
+of the texts that hold an entity are counted with it, wherever they stand outside of entities; the information a term has on
+it, log(p(e, t) / (p(e) p(t))), against all there is to know, log(1 / p(e)), says how far the term discloses it.  Terms beyond
+THRESHOLD, seen with the entity in at least SUPPORT different texts, become spans of kind ``term`` at every occurrence in every
+document that holds them.  Redaction removes entities and generalises terms.
 
 Patterns are linear in the text: possessive forms that start only where a match can start.  SQL functions only.
 
-Defined cases: null text counts as empty and stays null when redacted; texts without entities are left alone; equal
+Defined cases: null text counts as empty and stays null when redacted; texts without entities and disclosing terms are left alone; equal
 texts get equal spans; repeated rows are kept; input columns named as an output column make way.
 """
 
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from strainlake.llm._common import Scratch, settled
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Characters on either side of an entity that are its surroundings.
-CONTEXT = 80
 THRESHOLD, SUPPORT = 0.9, 2
 #: Rows of a term table up to which it is broadcast (some 50 bytes each).
 BROADCAST_ROWS = 200_000
@@ -61,21 +59,26 @@ def _of_kind(k: int):
     return lambda s: s["kind"] == k
 
 
-def located(text: Column, pattern: str, kind: Column, offset: Column) -> Column:
-    """All matches of a pattern as SPAN structs, from offset on, in code points."""
+def located(text: Column, pattern: str, kind: Column, wanted=lambda hit: F.lit(True)) -> Column:
+    """The wanted matches of a pattern as SPAN structs, in code points."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast(f"array<{SPAN}>")
     spans = F.aggregate(
         F.arrays_zip(F.split(text, pattern, -1).alias("between"), hits.alias("hit")),
-        F.struct(offset.cast("long").alias("at"), none.alias("spans")),
+        F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")),
         lambda acc, x: F.when(
             x["hit"].isNotNull(),
             F.struct(
                 (acc["at"] + F.length(x["between"]) + F.length(x["hit"])).alias("at"),
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct(kind.cast("int").alias("kind"), (acc["at"] + F.length(x["between"])).alias("start"), (acc["at"] + F.length(x["between"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))),
-                ).alias("spans"),
+                F.when(
+                    wanted(x["hit"]),
+                    F.concat(
+                        acc["spans"],
+                        F.array(F.struct(kind.cast("int").alias("kind"), (acc["at"] + F.length(x["between"])).alias("start"), (acc["at"] + F.length(x["between"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))),
+                    ),
+                )
+                .otherwise(acc["spans"])
+                .alias("spans"),
             ),
         ).otherwise(acc),
         lambda acc: acc["spans"],
@@ -87,7 +90,7 @@ def entities(text: Column) -> Column:
     """The spans of all protected entities, by kind, then start."""
     found = []
     for k, kind in enumerate(KINDS[:4]):
-        spans = F.filter(located(text, PATTERNS[kind], F.lit(k), F.lit(0)), _checked(kind))
+        spans = F.filter(located(text, PATTERNS[kind], F.lit(k)), _checked(kind))
         found.append(F.when(F.contains(text, F.lit(SIGN[kind])), spans).otherwise(F.array().cast(f"array<{SPAN}>")) if SIGN[kind] else spans)
     return F.coalesce(F.concat(*found), F.array().cast(f"array<{SPAN}>"))
 
@@ -108,7 +111,7 @@ def with_entities(docs: DataFrame) -> DataFrame:
     in the second search.
     """
     docs = docs.withColumn("base", entities(F.col("text")))
-    blanked = F.when(F.size("base") > 0, replaced(_ordered(F.col("base")), lambda s: F.repeat(F.lit("#"), (s["end"] - s["start"]).cast("int"))))
+    blanked = F.when(F.size("base") > 0, _blanked("base"))
     # the bar lies above both, so that filters on them stay above as well
     same = F.slice("base", (_barred() + 1).cast("int"), F.greatest(F.size("base"), F.lit(1)))
     return docs.withColumn("__blanked", blanked).withColumn("more", entities(F.col("__blanked"))).withColumn("base", same).withColumn("__text", _key()).drop("__blanked")
@@ -131,62 +134,67 @@ def replaced(spans: Column, by) -> Column:
     )
 
 
-def surroundings(hits: DataFrame) -> DataFrame:
-    """__text, entity, term, start, end: the terms near each entity. hits: __text, text, base, n_docs of every text with entities."""
-    rows = hits.select("__text", "n_docs", "text", "base", F.explode("base").alias("e"))
-    left = F.greatest(F.col("e.start") - CONTEXT, F.lit(0))
-    sides = rows.select(
-        "__text",
-        "n_docs",
-        "base",
-        F.concat(F.element_at(F.array(*map(F.lit, KINDS)), F.col("e.kind") + 1), F.lit(":"), F.lower("e.value")).alias("entity"),
-        F.concat(
-            located(F.substr("text", (left + 1).cast("int"), (F.col("e.start") - left).cast("int")), TERM, F.lit(4), left),
-            located(F.substr("text", (F.col("e.end") + 1).cast("int"), F.lit(CONTEXT)), TERM, F.lit(4), F.col("e.end")),
-        ).alias("terms"),
-    )
-    # a term cut by the edge of the surroundings is none; neither is a part of another entity
-    near = sides.select("__text", "n_docs", "base", "entity", F.explode("terms").alias("t"))
-    near = near.where(~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"])))
-    return near.select("__text", "n_docs", "entity", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+def _blanked(spans: str) -> Column:
+    """The text with as many # for the characters of each span."""
+    return replaced(_ordered(F.col(spans)), lambda s: F.repeat(F.lit("#"), (s["end"] - s["start"]).cast("int")))
+
+
+def _terms(text: Column) -> Column:
+    """The different terms of a text whose entities are blanked out."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def disclosing(near: DataFrame, held: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """entity, term, disclosure of the terms that disclose an entity. held: entity, docs that hold it."""
-    together = near.groupBy("entity", "term", "__text").agg(F.first("n_docs").alias("n_docs")).groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n_docs").alias("both"))
-    together = scratch.save(together.where(F.col("texts") >= SUPPORT))
-    wanted = scratch.save(together.select("term").distinct())
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counted = terms.join(_small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    total = float(docs.count())
-    j = together.join(held, "entity").join(counted, "term")
+def disclosing(hits: DataFrame, lean: DataFrame, scratch: Scratch) -> DataFrame:
+    """entity, term, disclosure of the terms that disclose an entity.
+
+    lean: __text, plain (the text with its entities blanked out) of every document; hits: __text, n_docs, plain, spans of
+    every different text with entities.  As with_both <= with_entity, disclosure at THRESHOLD bounds with_term from above by
+    with_entity; pairs beyond it are left out before they are counted, so that common terms meet no entity.
+    """
+    names = F.transform("spans", lambda b: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), b["kind"] + 1), F.lit(":"), F.lower(b["value"])))
+    held = hits.select("__text", "n_docs", F.explode(F.array_distinct(names)).alias("entity"))
+    known = held.groupBy("entity").agg(F.sum("n_docs").alias("with_entity"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
+    total = float(lean.count())
+    most = F.col("with_entity") * F.pow(F.lit(total + 1) / F.col("with_entity"), F.lit(1 - THRESHOLD)) * 1.000001  # rounding loses none
+    held = scratch.save(held.join(_small(scratch.save(known)), "entity").withColumn("most", most))
+    texts = scratch.save(held.groupBy("__text").agg(F.max("most").alias("top")))
+    own = scratch.save(hits.join(_small(texts), "__text").select("__text", "top", F.explode(_terms(F.col("plain"))).alias("term")))
+    wanted = scratch.save(own.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).select("term"))
+    counted = lean.select(F.explode(_terms(F.col("plain"))).alias("term")).join(_small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
+    rare = own.join(_small(scratch.save(counted)), "term").where("with_term <= top").select("__text", "term", "with_term")
+    pairs = rare.join(held, "__text").where("with_term <= most")
+    j = pairs.groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("texts"), F.sum("n_docs").alias("both")).where(F.col("texts") >= SUPPORT)
     knows = F.log2(F.lit(total) * F.col("both") / (F.col("with_entity") * F.col("with_term"))) / F.log2(F.lit(total + 1) / F.col("with_entity"))
     return j.withColumn("disclosure", knows).where(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure")
 
 
+def _searched(docs: DataFrame) -> DataFrame:
+    """with_entities(docs) with plain, the text with all entities blanked out, in place of the text."""
+    found = with_entities(docs).withColumn("__all", F.concat("base", "more"))
+    return found.withColumn("plain", F.coalesce(F.when(F.size("__all") > 0, _blanked("__all")).otherwise(F.col("text")), F.lit(""))).drop("text", "__all")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """docs with base, more and terms: SPAN arrays of the entities, those hidden by others, and the terms that disclose them."""
     scratch = Scratch(docs.sparkSession)
-    lean = with_entities(docs.select("text"))
-    found = scratch.save(lean.where(F.size("base") > 0))
-    spans = _terms_of(docs, found, scratch)
+    spans = _terms_of(scratch.save(_searched(docs.select("text"))), scratch)
     scratch.drop()
     return _with_terms(with_entities(docs), spans).drop("__text")
 
 
-def _terms_of(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """__text, terms (their spans) of every text that holds disclosing terms; found: the rows with entities."""
-    hits = scratch.save(found.groupBy("__text").agg(F.count("*").alias("n_docs"), F.first("text").alias("text"), F.first(F.concat("base", "more")).alias("base")))
-    near = scratch.save(surroundings(hits))
-    names = F.transform("base", lambda b: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), b["kind"] + 1), F.lit(":"), F.lower(b["value"])))
-    held = hits.select("n_docs", F.explode(F.array_distinct(names)).alias("entity")).groupBy("entity").agg(F.sum("n_docs").alias("with_entity"))
-    told = scratch.save(disclosing(near, held, docs, scratch))
-    at = near.join(_small(told), ["entity", "term"]).select("__text", F.struct(F.lit(4).alias("kind"), "start", "end", F.col("term").alias("value")).cast(SPAN).alias("s")).distinct()
-    return settled(at.groupBy("__text").agg(F.array_sort(F.collect_list("s")).alias("terms")))
+def _terms_of(lean: DataFrame, scratch: Scratch) -> DataFrame:
+    """__text, terms (their spans) of every text that holds disclosing terms; lean: the rows of _searched, saved."""
+    found = lean.where(F.size("base") > 0).groupBy("__text").agg(F.count("*").alias("n_docs"), F.first("plain").alias("plain"), F.first(F.concat("base", "more")).alias("spans"))
+    told = scratch.save(disclosing(scratch.save(found), lean, scratch).select("term").distinct())
+    holds = lean.select("__text", F.explode(_terms(F.col("plain"))).alias("term")).join(_small(told), "term", "left_semi")
+    holds = scratch.save(holds.groupBy("__text").agg(F.collect_set("term").alias("own")))
+    texts = lean.select("__text", "plain").join(_small(holds.select("__text")), "__text", "left_semi").groupBy("__text").agg(F.first("plain").alias("plain"))
+    at = located(F.col("plain"), TERM, F.lit(4), lambda hit: F.array_contains("own", F.lower(hit)))
+    return settled(texts.join(_small(holds), "__text").select("__text", F.transform(at, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"))).alias("terms")))
 
 
 def _with_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -199,11 +207,10 @@ def _written(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of each kind, base_sha256, spans of every document; its texts are searched once."""
+    """doc_id, counts of each kind, base_sha256, spans of every document; its texts are searched for entities once."""
     scratch = Scratch(docs.sparkSession)
-    base = scratch.save(with_entities(docs.select("doc_id", "text")).withColumn("text", F.when(F.size("base") > 0, F.col("text"))))
-    found = base.where(F.size("base") > 0)
-    spans = _terms_of(docs, found, scratch)
+    base = scratch.save(_searched(docs.select("doc_id", "text")))
+    spans = _terms_of(base, scratch)
     done = _with_terms(base.select("doc_id", "__text", "base", "more"), spans)
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
     out = done.select("doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"), _written(F.array_sort(F.concat("base", "more", "terms"))).alias("spans"))

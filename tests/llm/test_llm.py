@@ -276,6 +276,21 @@ def test_personal_data(spark, docs):
     assert "term:" in got[10_010].spans and "Wilhelmina" not in clean[10_010] and "[TERM]" in clean[10_010]
 
 
+def test_disclosing_terms_anywhere(spark, docs):
+    gap = " ".join(["the plain words between"] * 12)
+    texts = [f"Wilhelmina wrote text{k}. {gap} by Wilhelmina wilhelmina.k@mail.example.com" for k in range(6)]
+    texts += [f"Ottokarine signs number{k}. {gap} {gap} write to o.k@mail.example.com" for k in range(6)]  # never near it
+    texts += ["A page on OTTOKARINE alone.", None]
+    df = docs.unionByName(spark.createDataFrame([(10_000 + k, x, None, None, 0) for k, x in enumerate(texts)], SCHEMA))
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    for k, x in enumerate(texts[:13]):
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"wilhelmina(?!\.k@)|wrote|ottokarine|signs|write", x.lower())]
+        assert [s for s in got[10_000 + k].split(",") if s.startswith("term:")] == want and want
+        assert not re.search("wilhelmina|ottokarine", clean[10_000 + k].lower())
+    assert "the plain words between" in clean[10_000] and clean[10_013] is None
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
