@@ -3,7 +3,7 @@
 For every prefix of a piece of text exactly one vocabulary token can end its encoding: the token whose
 predecessor, the last token of the remaining prefix, is left alone next to it by the merges.  Filling that in
 from left to right stores the exact count of every prefix of the piece; pieces (the tokenizer's own split) add
-up.  Counts, truncation to a budget and the count of any prefix then need no further encoding.
+up.  Truncation to a budget and the count of any prefix then need no further encoding.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); repeated rows are kept; an input column named as
 an output column makes way.  Workers remember at most 2 * REMEMBERED pieces.
@@ -12,7 +12,8 @@ an output column makes way.  Workers remember at most 2 * REMEMBERED pieces.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from array import array
+from bisect import bisect_left
 
 import regex
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ from strainlake.llm.bpe import UNSETTLED, byte_letters, settled_class, specials,
 REMEMBERED = 500_000
 #: Longest piece, in bytes, whose prefix counts are remembered.
 SHORT = 64
+#: Pieces of which a part, left alone, is split otherwise.
+CUT_OTHERWISE = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
 def settled_pieces() -> re.Pattern:
@@ -133,12 +136,39 @@ class PrefixCounter:
         begin = ends[first - 1] if first else 0
         return (counts[first - 1] if first else 0) + self.count(text[begin:cut])
 
+    def every(self, text: str | None) -> list[int]:
+        """Token counts of the text's prefixes of 0, 1, 2 ... code points, each as if the text ended there."""
+        out, (ends, counts), pieces = [0], self.boundaries(text), self.split(text)
+        blank = lambda p: p not in self.own and not UNSETTLED.search(p) and p.isspace()
+        k = 0
+        while k < len(pieces):
+            p, begin, n = pieces[k], ends[k - 1] if k else 0, counts[k - 1] if k else 0
+            if len(out) <= begin and blank(p):  # an end of the text makes a run of blanks one piece
+                j = k
+                while j < len(pieces) and blank(pieces[j]):
+                    j += 1
+                run = "".join(pieces[k:j]) + (" " if j < len(pieces) and pieces[j][0] == " " and pieces[j] not in self.own else "")
+                out += self._within(run, n)
+                k = j
+                continue
+            if p in self.own or p in CUT_OTHERWISE or UNSETTLED.search(p):
+                out += [self.at(text, ends, counts, c) for c in range(len(out), ends[k] + 1)]
+            else:
+                out += self._within(p, n)[len(out) - begin - 1 :]
+            k += 1
+        return out
+
+    def _within(self, piece: str, before: int) -> list[int]:
+        """Counts at the code points 1, 2 ... of a piece with so many tokens before it."""
+        counts, at, out = self.prefix_counts(piece), 0, []
+        for c in piece:
+            at += 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+            out.append(before + counts[at])
+        return out
+
     def cut(self, text: str, ends: list[int], counts: list[int], budget: int) -> int:
-        """Largest number of code points, a whole number of pieces, whose prefix has at most budget tokens."""
-        k = bisect_right(counts, budget)
-        while k and self.at(text, ends, counts, ends[k - 1]) > budget:  # the end of a text can split otherwise
-            k -= 1
-        return ends[k - 1] if k else 0
+        """Largest number of code points whose prefix has at most budget tokens; longer prefixes can have fewer."""
+        return max((c for c, n in enumerate(self.every(text)) if n <= budget), default=0)
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
@@ -152,19 +182,19 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
 
 def prefix_table(docs: DataFrame, path: str) -> DataFrame:
-    """docs with piece_ends (code points) and piece_counts (tokens up to there): the stored prefix counts."""
+    """docs with prefix_counts: the tokens of the text's prefixes of 0, 1, 2 ... code points."""
 
     def make():
         c = PrefixCounter(path)
-        return lambda texts: [list(x) for x in zip(*[c.boundaries(t) for t in texts])]
+        return lambda texts: [[array("i", c.every(t)) for t in texts]]
 
-    return map_texts(docs, "text", [field("piece_ends", "array<int>"), field("piece_counts", "array<int>")], make)
+    return map_texts(docs, "text", [field("prefix_counts", "array<int>")], make)
 
 
 def truncate(table: DataFrame, budget: int) -> DataFrame:
-    """A prefix table with cut: code points up to the last whole piece within budget, from the stored counts alone."""
-    k = F.size(F.filter("piece_counts", lambda n: n <= budget))
-    return table.withColumn("cut", F.when(F.size("piece_counts") == 0, 0).when(k > 0, F.element_at("piece_ends", k)).otherwise(0))
+    """A prefix table with cut: code points of the largest prefix within budget, from the stored counts alone."""
+    fits = F.array_max(F.transform("prefix_counts", lambda n, i: F.when(n <= budget, i)))
+    return table.withColumn("cut", F.coalesce(fits, F.lit(0)))
 
 
 def limits(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:

@@ -97,6 +97,17 @@ def test_prefix_counts(rows):
         assert count(text[: c.cut(text, ends, counts, 40)]) <= 40
 
 
+def test_largest_prefixes(spark, rows):
+    lib = bpe.tokenizer(BYTE_BPE)
+    count = lambda x: len(lib.encode(x, add_special_tokens=False).ids)
+    texts = [r.text[:300] for r in rows[:12]] + ["I'll they're  \n\n  a \t we've!!<|endoftext|>'s <|endof é́'s 12ab ＡΣ ½x   ", "語" * 300, "a" * 400, " " * 90 + "b \n c", "", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    for r in tokencount.truncate(tokencount.prefix_table(df, BYTE_BPE), 30).collect():
+        want = [count((r.text or "")[:c]) for c in range(len(r.text or "") + 1)]
+        assert list(r.prefix_counts) == want
+        assert r.cut == max(c for c, n in enumerate(want) if n <= 30)
+
+
 def test_token_counts(docs, rows):
     lib = bpe.tokenizer(BYTE_BPE)
     got = {r.doc_id: r for r in tokencount.limits(docs, BYTE_BPE).collect()}
