@@ -1,10 +1,11 @@
 """Quality rules whose thresholds follow the data: quantile sketches per language and source.
 
 Counts of each document feed a mergeable KLL sketch for each (language, source) and measure.  A document is rejected by a
-measure that lies beyond the outer fence of its group (third quartile + FENCE * interquartile range, or the mirror
-image below) and beyond a floor that no plain prose reaches, so that a group of uniform documents rejects none of them for
-being a little different.  Groups of fewer than TRUSTED documents borrow the sketch of their language, merged from its groups,
-and small languages that of all documents.  Sketches are built where the rows are; one for each group is merged.
+measure that lies beyond the outer fence of its group (third quartile + FENCE * interquartile range, or the mirror image below).
+The range counts as a small spread at least, so that a group of uniform documents rejects none of them for being a little
+different; beside that no cutoff is fixed.  A fence that lies outside that of the language, merged from its groups, makes way
+for it, so that a group full of junk cannot loosen its own.  Groups of fewer than TRUSTED documents borrow the sketch of their
+language, and small languages that of all documents.  Sketches are built where the rows are; one for each group is merged.
 
 Defined cases: null text has no words and fails the base rules; a null language or source is a group like any other;
 repeated rows get the same verdict; input columns named as an output column make way.  SQL functions only.
@@ -19,14 +20,15 @@ from strainlake.llm._common import Scratch, settled
 
 FENCE, TRUSTED, SKETCH_K = 3.0, 100, 200
 WINDOW = 8
-#: Measure: its numerator and denominator, and the floor beyond which alone it can reject.
+#: Measure: its numerator and denominator, and the least interquartile range that counts.
 UPPER = {
-    "symbols": ("n_symbols", "word_chars", 0.08),
-    "same_lines": ("n_dup_lines", "n_lines", 0.4),
-    "same_neighbours": ("n_adjacent", "n_words", 0.1),
-    "long_words": ("word_chars", "n_words", 9.0),
+    "symbols": ("n_symbols", "word_chars", 0.02),
+    "same_lines": ("n_dup_lines", "n_lines", 0.12),
+    "same_neighbours": ("n_adjacent", "n_words", 0.02),
+    "same_windows": ("n_repeat_words", "n_words", 0.08),
+    "long_words": ("word_chars", "n_words", 0.5),
 }
-LOWER = {"short_words": ("word_chars", "n_words", 3.0)}
+LOWER = {"short_words": ("word_chars", "n_words", 0.5)}
 #: (Language, source) groups up to which their thresholds are broadcast.
 BROADCAST_GROUPS = 50_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -99,7 +101,8 @@ def thresholds(counted: DataFrame) -> DataFrame:
     def fences(df: DataFrame, *keys: str) -> DataFrame:
         def fence(m: str) -> Column:
             low, high = F.kll_sketch_get_quantile_double(m, F.lit(0.25)), F.kll_sketch_get_quantile_double(m, F.lit(0.75))
-            return high + FENCE * (high - low) if m in UPPER else low - FENCE * (high - low)
+            spread = F.greatest(high - low, F.lit(names[m][2]))
+            return high + FENCE * spread if m in UPPER else low - FENCE * spread
 
         return df.select(*keys, *[fence(m).alias(m) for m in names])
 
@@ -111,9 +114,9 @@ def thresholds(counted: DataFrame) -> DataFrame:
     j = j.join(F.broadcast(whole), F.lit(True), "left")  # one row
 
     def threshold(m: str) -> Column:
-        fence, floor = F.coalesce(f"g.{m}", f"l.{m}", f"e.{m}"), names[m][2]
-        pick = F.greatest if m in UPPER else F.least
-        return F.coalesce(pick(fence, F.lit(floor)), F.lit(floor))
+        # nulls do not count; where not one document passes the base rules there is no threshold and nothing to judge
+        pick = F.least if m in UPPER else F.greatest
+        return F.when(F.coalesce(f"g.{m}", f"l.{m}").isNotNull(), pick(f"g.{m}", f"l.{m}")).otherwise(F.col(f"e.{m}"))
 
     return j.select(F.col("k.lang").alias("__lang"), F.col("k.source").alias("__source"), *[threshold(m).alias(f"__{m}") for m in names])
 

@@ -198,6 +198,17 @@ def test_quality(docs, odd):
     assert sorted(r.doc_id for r in quality.kept_documents(both).collect()) == sorted(k for k, g in got.items() if g.kept)
 
 
+def test_fences_tighten_and_hold(spark):
+    rng = random.Random(7)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))  # 200 characters of words
+    texts = [(prose(), "clean") for _ in range(300)] + [(prose()[:-17] + " " + "#" * 14, "clean")]  # 7% symbols
+    texts += [(prose() if k % 10 < 7 else prose() + " " + "#" * 80, "hot") for k in range(200)]
+    df = spark.createDataFrame([(k, x, "en", s, len(x)) for k, (x, s) in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.rejected_by for r in quality.judged(df).collect()}
+    assert {k for k, why in got.items() if why} == {k for k, (x, _) in enumerate(texts) if "#" in x}
+    assert all(got[k] == ["symbols"] for k, (x, s) in enumerate(texts) if "#" in x and s == "clean")
+
+
 def test_mixing(docs):
     got = mixing.taken(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
     size, target, taken = Counter(), {}, Counter()
