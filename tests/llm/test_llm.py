@@ -254,6 +254,35 @@ def test_fingerprints(docs, rows):
     assert all(p.likeness >= 0.8 and p.hub < p.doc_id for p in pairs)
 
 
+def test_near_pairs_recall(spark):
+    w, rng = editprint.Walker(), random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(n))
+    base = prose(200)
+    n = len(base)
+    texts = {1000: base, 1001: base[: n * 9 // 10] + prose(40)[: n // 10]}
+    for k in range(60):  # each replaces another quarter and more of the text: smaller ids that share bands and are not alike
+        at = k * (n * 7 // 10) // 59
+        texts[k] = base[:at] + prose(200)[: n * 3 // 10] + base[at + n * 3 // 10 :]
+    prints = {d: w.fingerprint(x) for d, x in texts.items()}
+    band = lambda d, b: prints[d][4 * b : 4 * b + 4]
+    both = [b for b in range(16) if band(1000, b) == band(1001, b)]
+    assert both and all(any(band(d, b) == band(1000, b) for d in range(60)) for b in both)  # no bucket of theirs has 1000 as its hub
+    walks = {d: w.output(x) for d, x in texts.items()}
+    ids = sorted(texts)
+    alike = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if editprint.agreement(walks[a], walks[b]) >= 0.8}
+
+    def groups(links):
+        own = {d: d for d in ids}
+        for _ in ids:
+            for a, b in links:
+                own[a] = own[b] = min(own[a], own[b])
+        return own
+
+    df = spark.createDataFrame([(d, x, None, None, 0) for d, x in texts.items()], SCHEMA)
+    got = {(r.hub, r.doc_id) for r in editprint.near_pairs(df).collect()}
+    assert (1000, 1001) in alike and got <= alike and groups(got) == groups(alike)
+
+
 def test_licenses():
     s = licenses.Scanner()
     got = s.scan("The MIT-Licence, and the Apache  LICENSE; cc by cc by gnu general public license")
