@@ -460,6 +460,14 @@ def one_hot_sums(spark, sf_dir):
     return b.select("item_id", total(lambda r: r[0].cast("double")).alias("a"), total(lambda r: (r[0] + r[1] + r[2] + r[3]).cast("double")).alias("known"))
 
 
+@query("""SELECT item_id, CAST(length(regexp_replace(upper(substr(text, 1, 2500)), '[^A]', '', 'g')) AS DOUBLE) AS a, CAST(length(regexp_replace(upper(substr(text, 1, 2500)), '[^ACGT]', '', 'g')) AS DOUBLE) AS known FROM benchmark""")
+def one_hot_sums_whole(spark, sf_dir):
+    """As one_hot_sums, over the reference's length instead of the first 128 characters."""
+    b = a.table(spark, sf_dir, "benchmark").select("item_id", dna.one_hot(F.col("text")).alias("x"))
+    total = lambda f: F.aggregate(F.transform("x", f), F.lit(0.0), lambda s, v: s + v)
+    return b.select("item_id", total(lambda r: r[0].cast("double")).alias("a"), total(lambda r: (r[0] + r[1] + r[2] + r[3]).cast("double")).alias("known"))
+
+
 @query("""SELECT CAST(date_trunc('month', ts) AS DATE) AS month, event_type AS Master, count(*) AS n FROM events GROUP BY ALL""")
 def monthly_counts(spark, sf_dir):
     from strainlake.streaming.monthly import monthly_counts as counts
