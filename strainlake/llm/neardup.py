@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strainlake.llm import fastsketch as fs
-from strainlake.llm._common import Scratch, extended, settled
+from strainlake.llm._common import Scratch, extended, field, map_texts, settled
 
 #: Classes in a bucket up to which all open pairs are verified (31 a class at most).
 SMALL = 32
@@ -200,18 +200,30 @@ def _sizes_allow(x: str, y: str, percent: int):
     return 100 * F.least(F.col(x), F.col(y)) >= percent * F.greatest(F.col(x), F.col(y))
 
 
+def _classes_of(width: int):
+    """A function from texts to their classes, as features gives them."""
+    hashes = fs.WordHashes()
+    return lambda texts: [[_set_id(s) if len(s) else None for s in (fs.shingles(fs.words_of(t), hashes, width) for t in texts)]]
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coords: int = 160, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
-    return _grouped(docs, width, percent, coords, rows).drop("key")
+    return _grouped(docs, width, percent, coords, rows).drop("key", "c")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, coords: int = 160, rows: int = 5) -> DataFrame:
     """The rows of docs of which one of each group stays, that of the smallest doc_id."""
     key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
     groups = _grouped(docs, width, percent, coords, rows)
-    gone = settled(groups.where(~F.col("kept")).select(F.col("key").alias("__key")).distinct())
+    lost = groups.where(~F.col("kept")).select(F.col("key").alias("__key"), F.col("c").alias("__c")).distinct()
+    gone = settled(lost.select("__key").distinct())
     keyed = docs.withColumn("__key", key)
     left = keyed.join(_bounded(gone), "__key", "left_anti")
+    mixed = settled(groups.where("kept").select(F.col("key").alias("__key")).distinct().join(gone, "__key", "left_semi"))
+    if not mixed.isEmpty():  # an id on rows of unlike texts, of which some stay: told apart by class
+        classed = map_texts(keyed.join(_bounded(mixed), "__key", "left_semi"), "text", [field("__c", "long")], lambda: _classes_of(width))
+        again = classed.join(lost, (classed["__key"] == lost["__key"]) & classed["__c"].eqNullSafe(lost["__c"]), "left_anti").drop("__c")
+        left = left.unionByName(again)
     twice = settled(groups.where("kept and n_shingles > 0").groupBy(F.col("key").alias("__key")).count().where("count > 1").select("__key"))
     if not twice.isEmpty():  # rows of one id: of equal texts among them, one stays
         again = left.join(_bounded(twice), "__key", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["__key", "__text"]).drop("__text")
@@ -248,10 +260,10 @@ def _grouped(docs: DataFrame, width: int, percent: int, coords: int, rows: int)
             stars_now = roots.select(F.col("c").alias("a"), F.col("root").alias("b"))
             roots = components(stars_now.unionByName(more), scratch)
 
-    placed = feats.join(roots, "c", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "c").alias("root"))
+    placed = feats.join(roots, "c", "left").select("doc_id", "key", "c", F.col("n").alias("n_shingles"), F.coalesce("root", "c").alias("root"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    out = placed.join(least, "root", "left").select("doc_id", "key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    out = placed.join(least, "root", "left").select("doc_id", "key", "c", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
     out = settled(out)
     scratch.drop()
     return out

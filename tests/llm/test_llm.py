@@ -165,6 +165,12 @@ def test_near_duplicates(spark, docs, width, percent):
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, c in want.values()}) and left.columns == df.columns
 
 
+def test_one_id_on_unlike_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    df = spark.createDataFrame([(3, a, None, None, 0), (7, a, None, None, 0), (7, b, None, None, 0), (9, b, None, None, 0)], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in neardup.deduplicated(df).collect()) == [(3, a), (7, b)]
+
+
 def test_sketch_estimates_similarity():
     import numpy as np
 
