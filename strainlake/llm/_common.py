@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,27 +15,39 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """Folder of spark.checkpoint.dir; a temporary one of this machine only where it is unset and the session is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="strainlake-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage; ``drop`` removes them once they were read.
+    """Parquet tables in the shared folder that cut lineage; ``drop``, or the end of a with block, removes them.
 
-    Executors that are lost later cost nothing, as the tables outlive them.
+    Executors that are lost later cost nothing, as the tables outlive them.  What is left when the application ends, after a
+    failure or as a result that a caller may still read, is removed then.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/strainlake-{uuid.uuid4().hex}"
-        self.n = 0
+        self.spark, self.n = spark, 0
+        root = f"{shared_dir(spark)}/strainlake-{uuid.uuid4().hex}"
+        self.folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        self.files = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files.mkdirs(self.folder)
+        self.files.deleteOnExit(self.folder)
+        self.root = root
         small_batches(spark)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
@@ -41,14 +55,45 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.files.delete(self.folder, True)
+
+
+#: Tables that results read, one list for each open block of ``passing``.
+_results: list[list[Scratch]] = []
+
+
+def lasting(spark: SparkSession) -> Scratch:
+    """Tables that a result reads: kept until the application ends, or the innermost block of ``passing``."""
+    out = Scratch(spark)
+    if _results:
+        _results[-1].append(out)
+    return out
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Results that are made in this block are read in it, and their tables removed at its end."""
+    _results.append([])
+    try:
+        yield
+    finally:
+        for scratch in _results.pop():
+            scratch.drop()
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows of a small result, held in the shared folder and removed with the last reference to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of a result, held in a table of the shared folder."""
+    return lasting(df.sparkSession).save(df)
+
+
+#: Rows and bytes up to which ``small`` has a table broadcast.
+SMALL_ROWS, SMALL_BYTES = 200_000, 32 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The saved table, marked for broadcasting if it is within SMALL_ROWS and SMALL_BYTES; else Spark joins by shuffle."""
+    got = df.limit(SMALL_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(df) if got.n <= SMALL_ROWS and (got.bytes or 0) <= SMALL_BYTES else df
 
 
 def extended(schema: T.StructType, *fields: T.StructField) -> T.StructType:

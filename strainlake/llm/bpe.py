@@ -1,13 +1,14 @@
 """BPE encoding and decoding through a table of the corpus' distinct words.
 
 Encoding: documents are split into words in Spark, every distinct word is encoded once, and the ids are joined back at the
-words' positions.  The table has two parts.  Words that are frequent in SAMPLE documents (at most FREQUENT, of bounded
-length) are encoded first and broadcast; the sample decides nothing else.  Documents become word numbers: ranks of those
-words, and places in the document's own list of other words.  The other words of all documents are dealt by word and
+words' positions.  The table has two parts.  Words that are frequent in SAMPLE documents (at most FREQUENT short and LONG longer
+ones, of bounded length) are encoded first and broadcast; the sample decides nothing else.  Documents become word numbers: ranks of
+those words, and places in the document's own list of other words.  The other words of all documents are dealt by word and
 sorted, each distinct one is encoded where its first row comes by, and the ids go back to their documents by a shuffled
-join.  A word that is frequent anywhere is in the first part, so no word fills a task; texts are not shuffled.
-Decoding: ids are joined with the id-to-piece table, whose size the
-tokenizer fixes.
+join.  Where the rows of one word are more than a partition, Spark splits them (adaptive rebalancing), and each part encodes
+the word once.  Texts are not shuffled.
+Decoding: the distinct ids of each batch of documents are joined with the id-to-piece table, whose size the tokenizer fixes
+and which is broadcast, and the pieces put in the places of the ids.
 
 Defined cases: null text counts as empty; no words give no ids and the empty decoded text; repeated rows are
 kept; input columns named as an output column make way.
@@ -26,14 +27,16 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strainlake.llm._common import Scratch, field, map_texts
+from strainlake.llm._common import Scratch, extended, field, map_texts, small_batches
 
 #: Words that are broadcast at most, and the largest length and number of ids of each: 262,144 * (48 + 4 * 24) bytes at most.
 FREQUENT, FREQUENT_BYTES, FREQUENT_IDS = 1 << 18, 48, 24
+#: Longer words that are broadcast at most, such as rules and addresses: 2,048 * (1,024 + 4 * 1,024) bytes at most.
+LONG, LONG_BYTES = 1 << 11, 1 << 10
 #: Documents, chosen by a hash, in which frequent words are counted, and distinct words that a task counts at once.
 SAMPLE, COUNTED_AT_ONCE = 30_000, 300_000
 #: Marks a special token in the word list; no word can hold a space.
@@ -157,13 +160,13 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, sample: int = S
     spark = docs.sparkSession
     share = sample / max(1, docs.count())
     drawn = docs.where(F.pmod(F.xxhash64(F.lit("words"), "text"), F.lit(1 << 30)) < share * (1 << 30)) if share < 1 else docs
-    scratch = Scratch(spark)
-    table = scratch.save(word_table(drawn, path))
-    short = (F.octet_length("word") <= FREQUENT_BYTES) & (F.octet_length("ids") <= 4 * FREQUENT_IDS)
-    top = table.where(short).orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids")
-    known = top.toArrow()  # columns, so that neither the driver nor the broadcast holds an object for each word
-    every = share >= 1 and table.count() <= known.num_rows
-    scratch.drop()
+    with Scratch(spark) as scratch:
+        table = scratch.save(word_table(drawn, path))
+        short = (F.octet_length("word") <= FREQUENT_BYTES) & (F.octet_length("ids") <= 4 * FREQUENT_IDS)
+        long = ~short & (F.octet_length("word") <= LONG_BYTES) & (F.octet_length("ids") <= 4 * LONG_BYTES)
+        top = [table.where(of).orderBy(F.desc("n"), "word").limit(n).select("word", "ids") for of, n in ((short, frequent), (long, min(frequent, LONG)))]
+        known = top[0].unionByName(top[1]).toArrow()  # columns, so that neither the driver nor the broadcast holds an object for each word
+        every = share >= 1 and table.count() <= known.num_rows
     common = spark.sparkContext.broadcast(known)
     if every:
         out = map_texts(docs, "text", [field("ids", "binary")], lambda: _joined(path, dict(zip(_words(common), _ids(common)))))
@@ -238,7 +241,9 @@ def _with_others(docs: DataFrame, path: str, common, keep_text: bool) -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[*keys, "k", "ids"])
 
     ids_schema = T.StructType([*pairs.schema.fields[:-1], field("ids", "binary")])
-    found = pairs.repartition("word").sortWithinPartitions("word").mapInArrow(encoded, ids_schema).groupBy(*keys).agg(F.collect_list(F.struct("k", "ids")).alias("__others"))
+    dealt = pairs.hint("rebalance", "word").sortWithinPartitions("word")
+    # a set, as copies of a row (all with one key) send the same words
+    found = dealt.mapInArrow(encoded, ids_schema).groupBy(*keys).agg(F.collect_set(F.struct("k", "ids")).alias("__others"))
 
     def number():
         numbered, packed = _numbered(path, _words(common)), zstandard.ZstdCompressor(3)
@@ -269,17 +274,56 @@ def _with_others(docs: DataFrame, path: str, common, keep_text: bool) -> DataFra
     return both.mapInArrow(place, out_schema)
 
 
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """id, piece of every token: the tokenizer's id-to-piece table."""
+    t = tokenizer(path)
+    if t.decoder is not None:
+        raise ValueError("pieces are joined by blanks only where the tokenizer has no decoder")
+    return spark.createDataFrame(pa.table({"id": pa.array(range(t.get_vocab_size(with_added_tokens=True)), pa.int32()), "piece": [t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))]}))
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded with decoded (string): the pieces of its ids, joined as the tokenizer's decode() joins them."""
+    """encoded with decoded (string): the pieces of its ids, joined as the tokenizer's decode() joins them.
+
+    Each batch of rows is preceded by a row for each id that stands in it; these rows are joined with the broadcast id-to-piece
+    table, which keeps their order, and what follows reads a batch's pieces before its documents.
+    """
+    small_batches(encoded.sparkSession)
+    schema = extended(encoded.schema, field("decoded", "string"))
+    keep = [f.name for f in schema.fields[:-1]]
+    kept = T.StructType(schema.fields[:-1])
+    key = next(f"id{'_' * n}" for n in range(1, 99) if f"id{'_' * n}" not in {c.lower() for c in keep})
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                found = np.unique(np.frombuffer(b"".join(x for x in b.column(keep.index("ids")).to_pylist() if x), "<u4")).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(found), c.type) for c in b.columns], pa.array(found)], names=[*keep, key])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int32())], names=[*keep, key])
 
-    def make():
-        t = tokenizer(path)
-        pieces = [t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))]
-        if t.decoder is not None:
-            raise ValueError("pieces are joined by blanks only where the tokenizer has no decoder")
-        return lambda rows: [["" if r is None else " ".join(map(pieces.__getitem__, np.frombuffer(r, "<u4").tolist())) for r in rows]]
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in kept.fields] + [field(key, "int")])
+    table = pieces(encoded.sparkSession, path).select(F.col("id").alias(f"{key}2"), F.col("piece").alias(f"{key}3"))
+    joined = encoded.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(used, nullable).join(F.broadcast(table), F.col(key) == F.col(f"{key}2"), "left").select(*[F.col(f"`{c}`") for c in keep], key, f"{key}3")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, fresh = {}, False
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                ids, rows, out = b.column(len(keep)).to_pylist(), b.column(keep.index("ids")).to_pylist(), []
+                for i, p, row in zip(ids, b.column(len(keep) + 1).to_pylist(), rows):
+                    if i is None:
+                        fresh = True
+                        out.append("" if row is None else " ".join(map(known.__getitem__, np.frombuffer(row, "<u4").tolist())))
+                    else:
+                        if fresh:
+                            known, fresh = {}, False
+                        known[i] = p
+                docs = b.filter(pa.array([i is None for i in ids]))
+                yield pa.RecordBatch.from_arrays([*docs.columns[:-2], pa.array(out, pa.string())], names=[*keep, "decoded"])
 
-    return map_texts(encoded, "ids", [field("decoded", "string")], make)
+    return joined.mapInArrow(placed, schema)
 
 
 def digests(docs: DataFrame, path: str, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:

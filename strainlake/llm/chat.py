@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strainlake.llm.arrays import bound, cut, sums_before
+
 START, TURN, END = "<|im_start|>", "<|im_turn|>", "<|im_end|>"
 ASSISTANT = "assistant"
 #: A line break inside a role; no escaped text holds it, as its backslashes come in pairs or stand between < and |.
@@ -53,21 +55,14 @@ def format_chats(turns: DataFrame) -> DataFrame:
     made = sorted_turns.withColumn("starts", starts).select("conv_id", blocks.alias("blocks"))
     strings = F.transform("blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], TURN), F.lit(END)))
     made = made.withColumn("strings", strings)
-    # where each text of an assistant's block starts, counted along the formatted string
-    spans = F.aggregate(
-        "blocks",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss")),
-        lambda acc, b: F.aggregate(
-            b["texts"],
-            F.struct((acc["at"] + len(START) + 1 + F.length(b["role"])).cast("long").alias("at"), acc["loss"].alias("loss")),
-            lambda in_block, text: F.struct(
-                (in_block["at"] + F.length(text) + len(TURN)).cast("long").alias("at"),
-                F.when(b["role"] == ASSISTANT, F.concat(in_block["loss"], F.array(F.struct(in_block["at"].alias("start"), F.length(text).cast("long").alias("length"))))).otherwise(in_block["loss"]).alias("loss"),
-            ),
-            lambda in_block: F.struct((in_block["at"] - len(TURN) + len(END)).cast("long").alias("at"), in_block["loss"].alias("loss")),
-        ),
-        lambda acc: acc["loss"],
+    # where each text starts: marks of its block, then the sum of what stands before it
+    width = lambda b, t, k: F.when(k == 0, len(START) + 1 + F.length(b["role"])).otherwise(0) + F.length(t) + F.when(k == F.size(b["texts"]) - 1, len(END)).otherwise(len(TURN))
+    part = lambda b, t, k: F.struct(
+        (b["role"] == ASSISTANT).alias("loss"), F.when(k == 0, len(START) + 1 + F.length(b["role"])).otherwise(0).cast("bigint").alias("lead"), F.length(t).cast("bigint").alias("length"), width(b, t, k).cast("bigint").alias("width")
     )
+    parts = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda t, k: part(b, t, k))))
+    placed = lambda ps: F.zip_with(ps, sums_before(F.transform(ps, lambda p: p["width"])), lambda p, at: F.struct(p["loss"].alias("loss"), (at + p["lead"]).alias("start"), p["length"].alias("length")))
+    spans = F.transform(F.filter(bound(parts, placed), lambda p: p["loss"]), lambda p: F.struct(p["start"], p["length"]))
     return made.select("conv_id", F.array_join("strings", "").alias("formatted"), spans.alias("loss"))
 
 
@@ -89,8 +84,8 @@ def read_turns(formatted: Column) -> Column:
 def digests(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the output."""
     made = format_chats(turns).withColumn("turns", read_turns(F.col("formatted")))
-    loss = F.array_join(F.transform("loss", lambda s: unescaped(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    made = made.withColumn("loss_text", loss)
+    masked = cut(F.col("formatted"), F.transform("loss", lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["length"]).alias("end"))))
+    made = made.withColumn("loss_text", F.array_join(F.transform(masked, unescaped), ""))
     return made.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -5,7 +5,7 @@ length 1.  Spherical k-means clusters a sample of each language's vectors; a tex
 with the largest cosine and is rejected (``accepted`` is false, the language stays) if it lies farther from that
 centroid than RADIUS times the FAR quantile of the sample's own distances.
 
-The model is fitted on at most SAMPLE labelled rows, spread evenly over the languages and chosen by a hash of doc_id.
+The model is fitted on at most SAMPLE different labelled texts, spread evenly over the languages and chosen by a hash.
 Defined cases: text null or without a letter gives ``und`` and score 0; without labelled rows every text does.
 Repeated rows are kept; an input column named as an output column makes way.
 """
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strainlake.llm._common import field, map_texts
@@ -74,16 +75,27 @@ def clusters(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, n
     return c, (x @ c.T).argmax(axis=1)
 
 
+def drawn(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """text, lang: at most ``sample`` different labelled texts, the same number of each language, by a hash of the text.
+
+    Of more languages than that, those of the most texts take part.  Copies of a text count once, before anything is sent; a
+    first cut by the hash, twice as wide as a language's share, keeps what is ranked small in every language.
+    """
+    h = F.xxhash64(F.lit("language sample"), "text")
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", h.alias("h"))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("texts"), "lang").limit(sample).collect()
+    each = max(1, sample // max(1, len(found)))
+    cuts = [(r.lang, min(1.0, (2 * each + 100) / max(1, r.texts))) for r in found]
+    cuts = labelled.sparkSession.createDataFrame(cuts, "of string, share double")
+    place = F.pmod("h", F.lit(1 << 30)).cast("double") / float(1 << 30)
+    near = rows.join(F.broadcast(cuts), F.expr("lang = of")).where(place < F.col("share"))
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= each).select("text", "lang")
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from doc_id, text, lang rows; what reaches the driver is bounded by sample * DIMENSIONS numbers."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
-    each = max(1, sample // max(1, len(sizes)))
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    share = F.lit(2.0)
-    for lang, n in sizes.items():
-        if n > each:
-            share = F.when(F.col("lang") == lang, each / n).otherwise(share)
+    """Model from text, lang rows; what reaches the driver is at most sample * DIMENSIONS numbers and the languages' names."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,7 +106,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 names=["lang", "at", "n"],
             )
 
-    got = rows.where(draw < share).select("text", "lang").mapInArrow(features, "lang string, at array<int>, n array<int>").toArrow()
+    got = drawn(labelled, sample).mapInArrow(features, "lang string, at array<int>, n array<int>").toArrow()
     langs = np.array(got["lang"].to_pylist(), dtype=object)
     if not len(langs):
         return Model(np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), [], np.zeros(0))
@@ -135,6 +147,6 @@ def held_out(doc_id: Column) -> Column:
 
 def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted of every document; held-out rows are not learned from."""
-    model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample)
+    model = fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"), sample)
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "accepted")

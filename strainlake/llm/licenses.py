@@ -12,6 +12,7 @@ input column named as an output column makes way.
 from __future__ import annotations
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +68,13 @@ class Scanner:
     def scan(self, text: str | None) -> dict:
         words = [] if text is None else text.encode("utf-8", "replace").translate(TABLE).split()
         line = b" " + b" ".join(words) + b" "
-        places = []
+        places, blanks = [], None
         for phrase, n, label in self.base:
             at = line.find(phrase)
             while at >= 0:
-                first = line.count(b" ", 0, at)
+                if blanks is None:  # places of all blanks; a word begins behind each but the last
+                    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+                first = int(np.searchsorted(blanks, at))
                 places.append((first, first + n - 1, label))
                 at = line.find(phrase, at + 1)
         return {"n_words": len(words), "places": places, "fuzzy": self._fuzzy(line.decode()) if words else []}
@@ -89,10 +92,12 @@ class Scanner:
                 if m := pattern.search(line, max(0, begin - k - 1), min(len(line), begin + size + k + 1)):
                     spans[n, m.start()] = (m.end(), sum(m.fuzzy_counts))
                     tried[n] = m.end() - k
-        out = []
+        if not spans:
+            return []
+        out, blanks = [], np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 32)
         for (n, a), (b, edits) in sorted(spans.items()):
-            first = line.count(" ", 0, a) - 1
-            out.append((self.notices[n][3], first, first + line.count(" ", a, b), edits, 1 - edits / self.notices[n][1]))
+            first, last = (int(x) - 1 for x in np.searchsorted(blanks, (a, b)))
+            out.append((self.notices[n][3], first, last, edits, 1 - edits / self.notices[n][1]))
         return out
 
 

@@ -17,12 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strainlake.llm._common import Scratch, settled
+from strainlake.llm._common import Scratch, lasting, settled, small
+from strainlake.llm.arrays import bound, cut, running, sums_before
 
 KINDS = ("email", "ip", "card", "phone", "term")
 THRESHOLD, SUPPORT = 0.9, 2
-#: Rows of a term table up to which it is broadcast (some 50 bytes each).
-BROADCAST_ROWS = 200_000
 TERM = r"\p{L}[\p{L}\p{N}]{2,60}+"
 # What the four patterns match, in forms that do not go back: an address starts where its characters start, or where
 # the match before it ended; a number starts where no digit, or digit and separator, stands before it.
@@ -59,31 +58,19 @@ def _of_kind(k: int):
     return lambda s: s["kind"] == k
 
 
-def located(text: Column, pattern: str, kind: Column, wanted=lambda hit: F.lit(True)) -> Column:
-    """The wanted matches of a pattern as SPAN structs, in code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast(f"array<{SPAN}>")
-    spans = F.aggregate(
-        F.arrays_zip(F.split(text, pattern, -1).alias("between"), hits.alias("hit")),
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")),
-        lambda acc, x: F.when(
-            x["hit"].isNotNull(),
-            F.struct(
-                (acc["at"] + F.length(x["between"]) + F.length(x["hit"])).alias("at"),
-                F.when(
-                    wanted(x["hit"]),
-                    F.concat(
-                        acc["spans"],
-                        F.array(F.struct(kind.cast("int").alias("kind"), (acc["at"] + F.length(x["between"])).alias("start"), (acc["at"] + F.length(x["between"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))),
-                    ),
-                )
-                .otherwise(acc["spans"])
-                .alias("spans"),
-            ),
-        ).otherwise(acc),
-        lambda acc: acc["spans"],
-    )
-    return F.when(F.size(hits) > 0, spans).otherwise(none)
+def located(text: Column, pattern: str, kind: Column) -> Column:
+    """The matches of a pattern as SPAN structs, in code points."""
+
+    def measured(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        return F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).cast("bigint").alias("skip"), F.length(hit).cast("bigint").alias("length"), hit.alias("value")))
+
+    def placed(parts: Column) -> Column:
+        span = lambda p, at: F.struct(kind.cast("int").alias("kind"), (at + p["skip"]).alias("start"), (at + p["skip"] + p["length"]).alias("end"), p["value"].alias("value"))
+        return F.zip_with(parts, sums_before(F.transform(parts, lambda p: p["skip"] + p["length"])), span)
+
+    found = lambda hits: F.when(F.size(hits) > 0, bound(measured(hits), placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
 def entities(text: Column) -> Column:
@@ -105,16 +92,18 @@ def _key() -> Column:
 
 
 def with_entities(docs: DataFrame) -> DataFrame:
-    """docs with base (the spans of entities), more (those found once these are blanked out) and __text (key of the text).
+    """docs with base (the spans of entities), more (those found once these are blanked out), key (of the text), plain (the text
+    with all of them blanked out; null where there are none).
 
     A match that fails its check, such as a phone number with a card number behind it, hides what it covers; it shows
     in the second search.
     """
     docs = docs.withColumn("base", entities(F.col("text")))
-    blanked = F.when(F.size("base") > 0, _blanked("base"))
+    blanked = F.when(F.size("base") > 0, _blanked(F.col("base")))
     # the bar lies above both, so that filters on them stay above as well
     same = F.slice("base", (_barred() + 1).cast("int"), F.greatest(F.size("base"), F.lit(1)))
-    return docs.withColumn("__blanked", blanked).withColumn("more", entities(F.col("__blanked"))).withColumn("base", same).withColumn("__text", _key()).drop("__blanked")
+    docs = docs.withColumn("once", blanked).withColumn("more", entities(F.col("once"))).withColumns({"base": same, "key": _key()})
+    return docs.withColumn("plain", F.when(F.size("more") > 0, _blanked(F.concat("base", "more"))).otherwise(F.col("once"))).drop("once")
 
 
 def _ordered(spans: Column) -> Column:
@@ -122,21 +111,29 @@ def _ordered(spans: Column) -> Column:
 
 
 def replaced(spans: Column, by) -> Column:
-    """The text with each span that begins after the end of the last one replaced; spans: as _ordered gives them."""
-    return F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), by(s)).alias("out")),
-        ).otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], F.when(s["end"] > acc["at"], by(F.struct(acc["at"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).otherwise(F.lit(""))).alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"), F.length("text"))),
-    )
-
-
-def _blanked(spans: str) -> Column:
+    """The column text with what each span covers beyond those before it replaced; spans: as _ordered gives them, one at least."""
+
+    def shown(ss: Column) -> Column:
+        reach = running(F.transform(ss, lambda s: s["end"]), F.greatest, F.lit(0).cast("bigint"))
+        own = F.zip_with(ss, reach, lambda s, at: F.struct(at.alias("gap"), F.greatest(s["start"], at).alias("start"), F.greatest(s["end"], at).alias("end"), s["kind"].alias("kind")))
+        return bound(own, joined)
+
+    def joined(ps: Column) -> Column:
+        gaps = cut(F.col("text"), F.transform(ps, lambda p: F.struct(p["gap"].alias("start"), p["start"].alias("end"))))
+        marked = F.zip_with(ps, gaps, lambda p, gap: F.concat(gap, F.when(p["end"] > p["start"], by(p)).otherwise(F.lit(""))))
+        tail = F.substr("text", (F.array_max(F.transform(ps, lambda p: p["end"])) + 1).cast("int"), F.length("text"))
+        return F.array_join(F.concat(marked, F.array(tail)), "")
+
+    return bound(spans, shown)
+
+
+def _blanked(spans: Column) -> Column:
     """The text with as many # for the characters of each span."""
-    return replaced(_ordered(F.col(spans)), lambda s: F.repeat(F.lit("#"), (s["end"] - s["start"]).cast("int")))
+    return replaced(_ordered(spans), lambda s: F.repeat(F.lit("#"), (s["end"] - s["start"]).cast("int")))
+
+
+def _plain() -> Column:
+    return F.coalesce("plain", "text", F.lit(""))
 
 
 def _terms(text: Column) -> Column:
@@ -144,61 +141,67 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def disclosing(searched: DataFrame, scratch: Scratch) -> DataFrame:
+    """term, disclosure (the largest), entity (the first of those with it) of the terms that disclose an entity.
 
-
-def disclosing(hits: DataFrame, lean: DataFrame, scratch: Scratch) -> DataFrame:
-    """entity, term, disclosure of the terms that disclose an entity.
-
-    lean: __text, plain (the text with its entities blanked out) of every document; hits: __text, n_docs, plain, spans of
-    every different text with entities.  As with_both <= with_entity, disclosure at THRESHOLD bounds with_term from above by
-    with_entity; pairs beyond it are left out before they are counted, so that common terms meet no entity.
+    searched: text and what with_entities adds, saved.  As with_both <= with_entity, disclosure at THRESHOLD bounds with_term
+    from above by with_entity; pairs beyond it are left out before they are counted, so that common terms meet no entity.
+    Entities that stand in the same texts are one class, and so are terms of the same texts and number: classes meet, so a
+    text with many of both, and others like it, make few pairs.
     """
+    hits = scratch.save(searched.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("n_docs"), F.first("plain").alias("plain"), F.first(F.concat("base", "more")).alias("spans")))
     names = F.transform("spans", lambda b: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), b["kind"] + 1), F.lit(":"), F.lower(b["value"])))
-    held = hits.select("__text", "n_docs", F.explode(F.array_distinct(names)).alias("entity"))
-    known = held.groupBy("entity").agg(F.sum("n_docs").alias("with_entity"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
-    total = float(lean.count())
+    held = scratch.save(hits.select("key", "n_docs", F.explode(F.array_distinct(names)).alias("entity")))
+    texts = [F.count("*").alias("texts"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")]
+    known = held.groupBy("entity").agg(F.sum("n_docs").alias("with_entity"), *texts).where(F.col("texts") >= SUPPORT)
+    total = float(searched.count())
     most = F.col("with_entity") * F.pow(F.lit(total + 1) / F.col("with_entity"), F.lit(1 - THRESHOLD)) * 1.000001  # rounding loses none
-    held = scratch.save(held.join(_small(scratch.save(known)), "entity").withColumn("most", most))
-    texts = scratch.save(held.groupBy("__text").agg(F.max("most").alias("top")))
-    own = scratch.save(hits.join(_small(texts), "__text").select("__text", "top", F.explode(_terms(F.col("plain"))).alias("term")))
-    wanted = scratch.save(own.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).select("term"))
-    counted = lean.select(F.explode(_terms(F.col("plain"))).alias("term")).join(_small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    rare = own.join(_small(scratch.save(counted)), "term").where("with_term <= top").select("__text", "term", "with_term")
-    pairs = rare.join(held, "__text").where("with_term <= most")
-    j = pairs.groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("texts"), F.sum("n_docs").alias("both")).where(F.col("texts") >= SUPPORT)
+    known = scratch.save(known.select("entity", "with_entity", most.alias("most"), F.xxhash64("texts", "sum", "with_entity").alias("of_entity")))
+    first = known.groupBy("of_entity").agg(F.min("entity").alias("entity"))
+    held = scratch.save(held.join(small(known.select("entity", "with_entity", "most", "of_entity")), "entity").select("key", "n_docs", "with_entity", "most", "of_entity").distinct())
+    tops = scratch.save(held.groupBy("key").agg(F.max("most").alias("top")))
+    own = scratch.save(hits.join(small(tops), "key").select("key", "top", F.explode(_terms(F.col("plain"))).alias("term")))
+    wanted = own.groupBy("term").agg(*texts).where(F.col("texts") >= SUPPORT)
+    # counted where the texts are, before anything is sent
+    everywhere = searched.select(F.explode(_terms(_plain())).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    counted = scratch.save(wanted.join(everywhere, "term").select("term", "with_term", F.xxhash64("texts", "sum", "with_term").alias("of_term")))
+    rare = own.join(small(counted), "term").where("with_term <= top").select("key", "of_term", "with_term").distinct()
+    pairs = rare.join(held, "key").where("with_term <= most")
+    j = pairs.groupBy("of_entity", "of_term", "with_entity", "with_term").agg(F.count("*").alias("texts"), F.sum("n_docs").alias("both")).where(F.col("texts") >= SUPPORT)
     knows = F.log2(F.lit(total) * F.col("both") / (F.col("with_entity") * F.col("with_term"))) / F.log2(F.lit(total + 1) / F.col("with_entity"))
-    return j.withColumn("disclosure", knows).where(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure")
+    told = j.withColumn("disclosure", knows).where(F.col("disclosure") >= THRESHOLD).join(first, "of_entity")
+    best = scratch.save(told.groupBy("of_term").agg(F.max("disclosure").alias("disclosure"), F.min_by("entity", F.struct(-F.col("disclosure"), "entity")).alias("entity")))
+    return counted.join(small(best), "of_term").select("term", "disclosure", "entity")
 
 
-def _searched(docs: DataFrame) -> DataFrame:
-    """with_entities(docs) with plain, the text with all entities blanked out, in place of the text."""
-    found = with_entities(docs).withColumn("__all", F.concat("base", "more"))
-    return found.withColumn("plain", F.coalesce(F.when(F.size("__all") > 0, _blanked("__all")).otherwise(F.col("text")), F.lit(""))).drop("text", "__all")
+def terms_of(searched: DataFrame) -> DataFrame:
+    """key, terms (their spans) of every text that holds disclosing terms; searched: text and what with_entities adds, saved.
 
+    Terms meet their places where the texts are; what is sent is the spans that disclose, once for each text and task.
+    """
+    with Scratch(searched.sparkSession) as scratch:
+        told = scratch.save(disclosing(searched, scratch).select("term"))
+        placed = searched.select("key", F.explode(located(_plain(), TERM, F.lit(4))).alias("s")).select("key", "s.start", "s.end", F.lower("s.value").alias("term"))
+        span = F.struct(F.lit(4).alias("kind"), "start", "end", F.col("term").alias("value"))
+        return settled(placed.join(small(told), "term", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set(span)).alias("terms")))
 
-def find(docs: DataFrame) -> DataFrame:
-    """docs with base, more and terms: SPAN arrays of the entities, those hidden by others, and the terms that disclose them."""
-    scratch = Scratch(docs.sparkSession)
-    spans = _terms_of(scratch.save(_searched(docs.select("text"))), scratch)
-    scratch.drop()
-    return _with_terms(with_entities(docs), spans).drop("__text")
 
+def _with_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    return docs.join(small(spans), "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")))
 
-def _terms_of(lean: DataFrame, scratch: Scratch) -> DataFrame:
-    """__text, terms (their spans) of every text that holds disclosing terms; lean: the rows of _searched, saved."""
-    found = lean.where(F.size("base") > 0).groupBy("__text").agg(F.count("*").alias("n_docs"), F.first("plain").alias("plain"), F.first(F.concat("base", "more")).alias("spans"))
-    told = scratch.save(disclosing(scratch.save(found), lean, scratch).select("term").distinct())
-    holds = lean.select("__text", F.explode(_terms(F.col("plain"))).alias("term")).join(_small(told), "term", "left_semi")
-    holds = scratch.save(holds.groupBy("__text").agg(F.collect_set("term").alias("own")))
-    texts = lean.select("__text", "plain").join(_small(holds.select("__text")), "__text", "left_semi").groupBy("__text").agg(F.first("plain").alias("plain"))
-    at = located(F.col("plain"), TERM, F.lit(4), lambda hit: F.array_contains("own", F.lower(hit)))
-    return settled(texts.join(_small(holds), "__text").select("__text", F.transform(at, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"))).alias("terms")))
 
+def find(docs: DataFrame) -> DataFrame:
+    """docs with base, more and terms: SPAN arrays of the entities, those hidden by others, and the terms that disclose them."""
+    new = ("base", "more", "terms")
+    done = _found(docs)
+    return done.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in new], *new)
 
-def _with_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    return docs.join(_small(spans), "__text", "left").withColumn("terms", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")))
+
+def _found(docs: DataFrame) -> DataFrame:
+    """row (the columns of docs), text, base, more, terms of every document; its texts are searched for entities once."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    searched = lasting(docs.sparkSession).save(with_entities(rows).drop("text")).withColumn("text", F.col("row.text"))
+    return _with_terms(searched.drop("plain"), terms_of(searched))
 
 
 def _written(spans: Column) -> Column:
@@ -208,23 +211,17 @@ def _written(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of each kind, base_sha256, spans of every document; its texts are searched for entities once."""
-    scratch = Scratch(docs.sparkSession)
-    base = scratch.save(_searched(docs.select("doc_id", "text")))
-    spans = _terms_of(base, scratch)
-    done = _with_terms(base.select("doc_id", "__text", "base", "more"), spans)
-    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
-    out = done.select("doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"), _written(F.array_sort(F.concat("base", "more", "terms"))).alias("spans"))
-    out = settled(out)
-    scratch.drop()
-    return out
+    with Scratch(docs.sparkSession) as scratch:
+        searched = scratch.save(with_entities(docs.select("doc_id", "text")))
+        done = _with_terms(searched.select("doc_id", "key", "base", "more"), terms_of(searched))
+        counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+        return settled(done.select("doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"), _written(F.array_sort(F.concat("base", "more", "terms"))).alias("spans")))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of docs with entities removed and disclosing terms generalised, as [EMAIL], [IP], [CARD], [PHONE], [TERM]."""
-    names = docs.columns
-    found = find(docs)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    found = found.withColumn("__spans", _ordered(F.concat("base", "more", "terms")))
-    redacted = replaced(F.col("__spans"), lambda s: F.element_at(marks, s["kind"] + 1))
-    text = F.when(F.size("__spans") > 0, redacted).otherwise(F.col("text"))
-    return found.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    found = _found(docs).withColumn("spans", _ordered(F.concat("base", "more", "terms")))
+    redacted = replaced(F.col("spans"), lambda s: F.element_at(marks, s["kind"] + 1))
+    text = F.when(F.size("spans") > 0, redacted).otherwise(F.col("text"))
+    return found.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

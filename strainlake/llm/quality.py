@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strainlake.llm._common import Scratch, settled
+from strainlake.llm._common import Scratch, lasting, settled
 
 FENCE, TRUSTED, SKETCH_K = 3.0, 100, 200
 WINDOW = 8
@@ -32,7 +32,6 @@ LOWER = {"short_words": ("word_chars", "n_words", 0.5)}
 #: (Language, source) groups up to which their thresholds are broadcast.
 BROADCAST_GROUPS = 50_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_OWN = ("__h", "__w", "__s", "__words", "__lines")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -123,11 +122,16 @@ def thresholds(counted: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame) -> DataFrame:
     """docs with the counts, base_failed, kept and rejected_by (the measures that reject it)."""
-    scratch = Scratch(docs.sparkSession)
-    counts = measured(docs.select("text", "lang", "source")).drop("text")
-    table = settled(thresholds(scratch.save(counts)))
-    scratch.drop()
-    return _verdict(measured(docs), table)
+    new = (*MEASURES, "base_failed", "kept", "rejected_by")
+    done = _judged(docs)
+    return done.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in new], *new)
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """row (the columns of docs), the counts, base_failed, kept and rejected_by; texts are measured once and their rows saved."""
+    counted = measured(docs.select(F.struct("*").alias("row"), "text", "lang", "source")).drop("text")
+    counted = lasting(docs.sparkSession).save(counted)
+    return _verdict(counted, settled(thresholds(counted)))
 
 
 def _verdict(counted: DataFrame, table: DataFrame) -> DataFrame:
@@ -135,20 +139,16 @@ def _verdict(counted: DataFrame, table: DataFrame) -> DataFrame:
     d = counted.join(F.broadcast(table) if few else table, F.expr("lang <=> __lang and source <=> __source"), "left")
     beyond = [F.when(_ratio(a, b) > F.col(f"__{m}"), m) for m, (a, b, _) in UPPER.items()] + [F.when(_ratio(a, b) < F.col(f"__{m}"), m) for m, (a, b, _) in LOWER.items()]
     d = d.withColumns({"base_failed": base_failed(), "rejected_by": F.array_compact(F.array(*beyond))})
-    return d.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(*[c for c in d.columns if c.startswith("__")])
+    return d.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(*table.columns)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the five counts, base_failed and kept of every document; its texts are read once."""
-    scratch = Scratch(docs.sparkSession)
-    counts = scratch.save(measured(docs.select("doc_id", "text", "lang", "source")).drop("text"))
-    out = _verdict(counts, thresholds(counts)).select("doc_id", *MEASURES, "base_failed", "kept")
-    out = settled(out)
-    scratch.drop()
-    return out
+    with Scratch(docs.sparkSession) as scratch:
+        counts = scratch.save(measured(docs.select("doc_id", "text", "lang", "source")).drop("text"))
+        return settled(_verdict(counts, thresholds(counts)).select("doc_id", *MEASURES, "base_failed", "kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with the columns of docs."""
-    names = docs.columns
-    return judged(docs).where("kept").select(*names)
+    return _judged(docs).where("kept").select("row.*")

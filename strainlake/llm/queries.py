@@ -113,5 +113,31 @@ FROM marked GROUP BY conv_id
 """
 
 
+OP5 = r"""
+WITH base AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS place
+  FROM documents
+), sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
+weighted AS (
+  SELECT source, source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS cap FROM sources
+), levels AS (  -- as if all sources with a smaller cap for their weight were clamped
+  SELECT cap / weight AS full_at, (CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+    / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted WINDOW w AS (ORDER BY cap / weight, source)
+), goal AS (
+  SELECT source, source_size, least(cap, weight * (SELECT level FROM levels WHERE level <= full_at ORDER BY full_at LIMIT 1)) AS target FROM weighted
+), due AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS whole,
+    CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) % source_size ELSE 0 END AS rest FROM goal
+), placed AS (
+  SELECT b.*, g.source_size, g.target, g.whole, g.rest,
+    coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.place, b.doc_id NULLS FIRST, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM base b JOIN due g ON b.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target, CAST(size * whole + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_neardup": OP3, "op10_chat": OP10}
+    return {"op3_neardup": OP3, "op5_mixing": OP5, "op10_chat": OP10}
