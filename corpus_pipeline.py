@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strainlake.llm import bpe, mixing, neardup, pii, quality
-from strainlake.llm._common import Scratch, settled
+from strainlake.llm._common import Scratch, lasting, passing
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as their source's target takes them."""
-    return mixing.repeated(mixing.mix(docs))
+    return mixing.mixture(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
-    out = settled(STAGES[-1][1](spark, docs, sf_dir))
-    scratch.drop()
-    return out
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), lasting(spark)
+    with Scratch(spark) as scratch:
+        for k, (_, stage) in enumerate(STAGES, 1):
+            with passing():
+                docs = (last if k == len(STAGES) else scratch).save(stage(spark, docs, sf_dir))
+    return docs
