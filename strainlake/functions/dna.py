@@ -54,31 +54,37 @@ def runs(seq: Column) -> Column:
     return F.regexp_extract_all(F.upper(seq), F.lit("(A+|C+|G+|T+|N+)"), F.lit(1))
 
 
-def run_length(seq: Column) -> Column:
-    """Run-length text: a run of k of one base is one letter for each 13, and one for the rest."""
+#: Characters that stand for bases and for codes while texts are rewritten: a private area, which no base or code is in.
+_PRIVATE = 0xE000
 
-    def code(run: Column) -> Column:
-        offset = F.lit(0)
-        for base, at in RLE_OFFSET.items():
-            offset = F.when(F.substr(run, F.lit(1), F.lit(1)) == base, F.lit(at)).otherwise(offset)
-        n = F.length(run)
-        rest = F.pmod(n, F.lit(RLE_RUN))
-        whole = F.repeat(F.chr(offset + RLE_RUN - 1), F.floor(n / RLE_RUN).cast("int"))
-        return F.concat(whole, F.when(rest > 0, F.chr(offset + rest - 1)).otherwise(F.lit("")))
 
-    return F.array_join(F.transform(runs(seq), code), "")
+def _codes() -> list[tuple[str, int, str]]:
+    """(base, length, code) of all codes, longest runs first."""
+    return [(b, n, chr(RLE_OFFSET[b] + n - 1)) for n in range(RLE_RUN, 0, -1) for b in RLE_OFFSET]
 
 
-def run_length_decoded(text: Column) -> Column:
-    """The bases of a run-length text."""
+def run_length(seq: Column) -> Column:
+    """Run-length text: a run of k of one base is one letter for each 13, and one for the rest.
 
-    def base(c: Column) -> Column:
-        at, out = F.ascii(c), F.lit("")
-        for b, offset in RLE_OFFSET.items():
-            out = F.when((at >= offset) & (at < offset + RLE_RUN), F.repeat(F.lit(b), at - offset + 1)).otherwise(out)
-        return out
+    One pass over the text for each of the 65 codes; other symbols than A, C, G, T and N end a run and are dropped.
+    """
+    stand = {b: chr(_PRIVATE + k) for k, b in enumerate(RLE_OFFSET)}
+    gap = chr(_PRIVATE + len(stand))
+    out = F.translate(F.regexp_replace(F.upper(seq), "[^ACGTN]+", gap), "".join(stand), "".join(stand.values()))
+    for base, n, code in _codes():
+        out = F.replace(out, F.lit(stand[base] * n), F.lit(code))
+    return F.replace(out, F.lit(gap), F.lit(""))
 
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), base), "")
+
+def run_length_decoded(text: Column) -> Column:
+    """The bases of a run-length text; what is no code is dropped."""
+    codes = _codes()
+    stand = [chr(_PRIVATE + k) for k in range(len(codes))]
+    known = "".join(c for _, _, c in codes)
+    out = F.translate(F.regexp_replace(text, "[^" + "".join(f"\\x{ord(c):02x}" for c in known) + "]+", ""), known, "".join(stand))
+    for (base, n, _), s in zip(codes, stand):
+        out = F.replace(out, F.lit(s), F.lit(base * n))
+    return out
 
 
 def phred(quality: Column) -> Column:
@@ -94,17 +100,23 @@ def phase_cos(base: Column, other: Column) -> Column:
 
 def one_hot(seq: Column, length: int = 2500) -> Column:
     """Four 0/1 columns for each position, cut or padded to length; anything but A, C, G, T is all zeros."""
-    return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.array(*[(F.substr(F.upper(seq), i, F.lit(1)) == b).cast("float") for b in BASES]))
+    letters = F.split(F.upper(F.substr(seq, F.lit(1), F.lit(length))), "")
+    row = lambda c: F.array(*[F.coalesce(c == b, F.lit(False)).cast("float") for b in BASES])
+    # split once: the letters are an element of an array that a function reads
+    made = F.transform(F.array(letters), lambda x: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: row(F.get(x, i))))
+    return F.when(seq.isNotNull(), F.get(made, 0))
 
 
 def walsh_hadamard(values: Column, size: int) -> Column:
-    """Walsh-Hadamard transform of an array whose size is a power of two: sums under the signs (-1) ** bit_count(i & j)."""
-    if size & (size - 1):
+    """Walsh-Hadamard transform of an array whose size is a power of two: log2(size) rounds of sums and differences."""
+    if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
-    each = F.sequence(F.lit(0), F.lit(size - 1))
 
-    def coefficient(i: Column) -> Column:
-        signed = F.transform(values, lambda x, j: F.when(F.bit_count(i.bitwiseAND(j)) % 2 == 0, x.cast("double")).otherwise(-x.cast("double")))
-        return F.aggregate(signed, F.lit(0.0), lambda a, x: a + x)
+    def joined(h: int):
+        return lambda v: F.transform(v, lambda x, i: F.when(i.bitwiseAND(F.lit(h)) == 0, x + F.get(v, i + h)).otherwise(F.get(v, i - h) - x))
 
-    return F.transform(each, coefficient)
+    out, h = F.transform(values, lambda x: x.cast("double")), 1
+    while h < size:  # each round reads the one before through an array of one element, so that it is computed once
+        out = F.get(F.transform(F.array(out), joined(h)), 0)
+        h *= 2
+    return out

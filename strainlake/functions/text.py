@@ -11,31 +11,36 @@ from pyspark.sql import functions as F
 # Names under which metadata columns come, in order of preference.
 ALIASES = {
     "Accession": ("Accession", "accession"),
-    "Collection_Date": ("Collection_Date", "Collection Date", "isolate-collection-date", "collection_date"),
-    "Country": ("Country", "geo-location", "Geo_Location", "country"),
-    "GenBank_Title": ("GenBank_Title", "GenBank Title", "virus-name", "title"),
-    "Host_Name": ("Host_Name", "host-name", "Host"),
-    "Length": ("Length", "length"),
-    "Completeness": ("Completeness", "completeness", "Nuc_Completeness"),
-    "Release_Date": ("Release_Date", "release-date", "Release Date"),
-    "Source_Database": ("Source_Database", "sourcedb", "GenBank_RefSeq"),
+    "Collection_Date": ("Collection_Date", "isolate-collection-date", "Isolate Collection date", "collection-date", "Isolate Collection Date"),
+    "Country": ("Country", "geo-location", "Geo_Location", "Geo Location", "Geographic Location"),
+    "GenBank_Title": ("GenBank_Title", "virus-name", "Virus Name", "title"),
+    "Host_Name": ("host-name", "Host Name", "host"),
+    "Length": ("length", "Length"),
+    "Completeness": ("completeness", "Completeness"),
+    "Release_Date": ("release-date", "Release date", "Release Date"),
+    "Source_Database": ("sourcedb", "Source database", "Source Database"),
+}
+#: Names that are taken besides, where none of those is there.
+MORE_ALIASES = {
+    "Collection_Date": ("Collection Date",),
+    "GenBank_Title": ("GenBank Title",),
+    "Host_Name": ("Host_Name",),
+    "Completeness": ("Nuc_Completeness",),
+    "Release_Date": ("Release_Date",),
+    "Source_Database": ("Source_Database", "GenBank_RefSeq"),
 }
 REQUIRED = ("Accession", "Collection_Date", "Country")
-# Days that the labels of relative dates stand for; the label without an entry adds no filter.
-RELATIVE_DAYS = {"Last 30 days": 30, "Last 90 days": 90, "Last 180 days": 180, "Last 1 year": 365, "Last 2 years": 730, "Last 5 years": 1825}
+# Days that the labels of relative dates stand for, and the label that adds no filter.
+RELATIVE_DAYS = {"Last 30 days": 30, "Last 90 days": 90, "Last 6 months": 180, "Last 1 year": 365, "Last 2 years": 730, "Last 5 years": 1825}
+ANY_DATE = "Any Date"
 
 
 def resolve(columns: Iterable[str], names: Iterable[str]) -> str | None:
-    """First of names among columns: exactly, else without blanks, byte order mark and case."""
-    plain = lambda c: c.strip().lstrip("﻿").casefold()
+    """First of names that is among columns, name by name: exactly, else without blanks, byte order mark and case."""
+    plain = lambda c: c.strip().lstrip("\ufeff").casefold()
     columns = list(columns)
-    by_plain = {}
-    for c in columns:
-        by_plain.setdefault(plain(c), c)
-    for name in names:
-        if name in columns:
-            return name
-    return next((by_plain[plain(n)] for n in names if plain(n) in by_plain), None)
+    by_plain = {plain(c): c for c in columns}
+    return next((n if n in columns else by_plain[plain(n)] for n in names if n in columns or plain(n) in by_plain), None)
 
 
 def loose(name: str) -> str:
@@ -43,9 +48,15 @@ def loose(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", name.casefold())
 
 
-def normalize_metadata(df: DataFrame) -> DataFrame:
-    """Canonical columns; ValueError at plan time lists what is missing. A missing title column falls back to Accession."""
-    found = {to: resolve(df.columns, names) for to, names in ALIASES.items()}
+def loosely(columns: Iterable[str], names: Iterable[str]) -> str | None:
+    """First of names (in loose form) that a column has; of columns alike, the last."""
+    found = {loose(c): c for c in columns if c}
+    return next((found[n] for n in names if n in found), None)
+
+
+def normalize_metadata(df: DataFrame, *more: Column) -> DataFrame:
+    """Canonical columns, and more; ValueError at plan time lists what is missing. A missing title column falls back to Accession."""
+    found = {to: resolve(df.columns, names + MORE_ALIASES.get(to, ())) for to, names in ALIASES.items()}
     missing = [c for c in REQUIRED if not found[c]]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
@@ -56,7 +67,7 @@ def normalize_metadata(df: DataFrame) -> DataFrame:
             out.append((country(value) if to == "Country" else value).alias(to))
         elif to == "GenBank_Title":
             out.append(F.col(f"`{found['Accession']}`").cast("string").alias(to))
-    return df.select(*out)
+    return df.select(*out, *more)
 
 
 def country(value: Column) -> Column:
@@ -101,9 +112,12 @@ def training_text(virus: Column, place: Column, variant: Column, seq: Column) ->
 
 
 def relative_date(label: str, today: Column | None = None) -> Column:
-    """Date that a label stands for; null if it stands for none."""
-    days = RELATIVE_DAYS.get(label)
-    return F.lit(None).cast("date") if days is None else F.date_sub(F.current_date() if today is None else today, days)
+    """Date that a label stands for; null (no filter) for ANY_DATE; ValueError for a label that stands for none."""
+    if label == ANY_DATE:
+        return F.lit(None).cast("date")
+    if label not in RELATIVE_DAYS:
+        raise ValueError(f"unknown label {label!r}; there are {[ANY_DATE, *RELATIVE_DAYS]}")
+    return F.date_sub(F.current_date() if today is None else today, RELATIVE_DAYS[label])
 
 
 def plain_console(text: Column) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from strainlake.functions.text import changed
 
 
+#: Ranges of the probability, each sorted on its own, that the area under a curve is summed over.
+AUC_RANGES = 10_000
+
+
 def actual_dominant(rows: DataFrame) -> DataFrame:
     """Country, Month, Actual_Accession, Actual_Count and the one before; ties go to the smallest accession."""
     counted = rows.groupBy("Country", "Month", "Master").agg(F.count("*").alias("Actual_Count"))
@@ -83,3 +87,20 @@ def log_loss(scored: DataFrame, label: str, probability: str) -> DataFrame:
     """One row: mean binary cross-entropy, probabilities kept 1e-7 away from 0 and 1."""
     p = F.least(F.greatest(F.col(probability), F.lit(1e-7)), F.lit(1 - 1e-7))
     return scored.agg(F.avg(-F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_loss"))
+
+
+def auc(scored: DataFrame, label: str, probability: str) -> DataFrame:
+    """One row: area under the ROC curve, equal probabilities counting half; null unless both classes are there.
+
+    Counted by probability first: over distinct values, sorted by range, each adds its positives times the negatives below.
+    """
+    by_value = scored.where(F.col(label).isNotNull() & F.col(probability).isNotNull()).groupBy(F.col(probability).alias("p")).agg(
+        F.count_if(F.col(label) == 1).cast("double").alias("pos"), F.count_if(F.col(label) != 1).cast("double").alias("neg")
+    )
+    # ranges of values, as many as fit a task each, and the negatives of the ranges before
+    ranges = by_value.withColumn("range", F.floor(F.col("p") * AUC_RANGES))
+    below = ranges.groupBy("range").agg(F.sum("neg").alias("own")).withColumn("before", F.coalesce(F.sum("own").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).drop("own")
+    inside = F.coalesce(F.sum("neg").over(W.partitionBy("range").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    each = ranges.join(F.broadcast(below), "range").withColumn("won", F.col("pos") * (F.col("before") + inside + F.col("neg") / 2))
+    total = each.agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return total.select(F.try_divide("won", F.col("pos") * F.col("neg")).alias("auc"))

@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# Kinds of virus that have variants.
+VIRUS_A, VIRUS_B = "Influenza A", "Influenza B"
+
+
 def strain_counts(rows: DataFrame) -> DataFrame:
     """Country, YearMonth, Master, Count, Total, Freq; rows with a null key don't count.
 
@@ -37,10 +41,26 @@ def master_rows(metadata: DataFrame, masters: DataFrame) -> DataFrame:
 
 
 def masters(groups: DataFrame) -> DataFrame:
-    """Accession, Master (first identifier of the group); an accession in several groups belongs to the last."""
-    rows = groups.where(F.size("identifiers") > 0).select("first_ord", F.get("identifiers", 0).alias("Master"), F.explode("identifiers").alias("Accession"))
-    last = F.row_number().over(W.partitionBy("Accession").orderBy(F.desc("first_ord")))
-    return rows.withColumn("__n", last).where("__n = 1").select("Accession", "Master")
+    """Accession, Master (first identifier of the group); an accession in several groups belongs to the last of the document.
+
+    The document's order is that of group_ord where the groups have it, else largest count first, then the longest, then file order.
+    """
+    if "group_ord" in groups.columns:
+        place = F.struct(F.col("group_ord").cast("bigint").alias("a"))
+    elif {"count", "seq_length"} <= set(groups.columns):
+        place = F.struct((-F.col("count")).alias("a"), (-F.col("seq_length")).alias("b"), F.col("first_ord").alias("c"))
+    else:
+        place = F.struct(F.col("first_ord").alias("a"))
+    rows = groups.where(F.size("identifiers") > 0).select(place.alias("place"), F.get("identifiers", 0).alias("Master"), F.explode("identifiers").alias("Accession"))
+    return rows.groupBy("Accession").agg(F.max_by("Master", "place").alias("Master"))
+
+
+def with_sequences(rows: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Rows whose Master has a sequence (Master, sequence) that cleans to something."""
+    from strainlake.functions.dna import clean
+
+    known = sequences.where(clean(F.col("sequence")) != "").select("Master").distinct()
+    return rows.join(known, "Master", "left_semi")
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -54,10 +74,26 @@ def encode(rows: DataFrame, column: str, to: str) -> DataFrame:
     return values.withColumn(to, F.row_number().over(W.orderBy(column)) - 1)
 
 
+def dpgr_observed(rows: DataFrame) -> DataFrame:
+    """Country, YearMonth, Variant, f (share of the month's rows), labels of each cell that has rows.
+
+    labels: change of the variant's share to the country's next month, in which an absent variant has share 0; 0 in its last
+    month.  Work and result are in proportion to the cells seen.
+    """
+    seen = rows.na.drop(subset=["Country", "YearMonth", "Variant"]).groupBy("Country", "YearMonth", "Variant").agg(F.count("*").alias("n"))
+    cells = seen.withColumn("f", F.col("n").cast("double") / F.sum("n").over(W.partitionBy("Country", "YearMonth")).cast("double"))
+    months = cells.select("Country", "YearMonth").distinct().withColumn("Next", F.lead("YearMonth").over(W.partitionBy("Country").orderBy("YearMonth")))
+    ahead = cells.select("Country", F.col("YearMonth").alias("Next"), "Variant", F.col("f").alias("f_next"))
+    j = cells.join(months, ["Country", "YearMonth"]).join(ahead, ["Country", "Next", "Variant"], "left")
+    change = F.when(F.col("Next").isNull(), 0.0).otherwise(F.coalesce("f_next", F.lit(0.0)) - F.col("f"))
+    return j.select("Country", "YearMonth", "Variant", "f", change.alias("labels"))
+
+
 def dpgr(rows: DataFrame) -> DataFrame:
     """Country, YearMonth, Variant, labels: change of a variant's share to the country's next month, 0 at its end.
 
-    Dense: every month seen in a country, with every variant seen anywhere; an absent one has share 0.
+    Dense: every month seen in a country, with every variant seen anywhere; an absent one has share 0.  Its size is that of the
+    grid; ``training_set`` needs only the cells of dpgr_observed.
     """
     seen = rows.na.drop(subset=["Country", "YearMonth", "Variant"]).groupBy("Country", "YearMonth", "Variant").agg(F.count("*").alias("n"))
     months, variants = seen.select("Country", "YearMonth").distinct(), seen.select("Variant").distinct()
@@ -68,12 +104,34 @@ def dpgr(rows: DataFrame) -> DataFrame:
     return grid.select("Country", "YearMonth", "Variant", F.coalesce(ahead - F.col("f"), F.lit(0.0)).alias("labels"))
 
 
+def training_set(rows: DataFrame) -> DataFrame:
+    """text, labels of rows of Virus_Type, Organism_Name, GenBank_Title, Country, Collection_Date, sequence.
+
+    Rows without date, country or sequence are left out; a row has the label of its country, month and variant, 0 without one.
+    """
+    from strainlake.functions import text
+
+    dated = rows.withColumn("YearMonth", F.trunc(text.date(F.col("Collection_Date").cast("string")), "MM")).na.drop(subset=["YearMonth", "sequence", "Country"])
+    kind = F.col("Virus_Type")
+    short = F.when(kind == VIRUS_B, "B").when(kind == VIRUS_A, "A").otherwise("")
+    dated = dated.withColumn("Variant", text.lineage(short, F.col("Organism_Name"), F.col("GenBank_Title")))
+    found = dated.join(dpgr_observed(dated).drop("f"), ["Country", "YearMonth", "Variant"], "left")
+    line = text.training_text(kind, F.col("Country"), F.col("Variant"), F.col("sequence"))
+    return found.select(line.alias("text"), F.coalesce("labels", F.lit(0.0)).alias("labels"))
+
+
 def split_by_time(rows: DataFrame, target: int, training: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows to learn from (the training years, else all years before target) and rows of the target year."""
     learn = rows.where(F.col("Year").isin(training)) if training else rows.where(F.col("Year") < target)
     return learn, rows.where(F.col("Year") == target)
 
 
+def split_by_month(rows: DataFrame, cutoff: str = "2025-01") -> tuple[DataFrame, DataFrame]:
+    """Rows of months before the cutoff (yyyy-MM), to learn from, and of that month and later."""
+    first = F.lit(f"{cutoff}-01").cast("date")
+    return rows.where(F.col("YearMonth") < first), rows.where(F.col("YearMonth") >= first)
+
+
 def split_by_key(rows: DataFrame, key: str, share: float = 0.98, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows to learn from (about that share) and to test on, by a hash of seed and key, so that reruns agree; a null key is a key."""
     at = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30))

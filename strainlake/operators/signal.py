@@ -22,7 +22,7 @@ def symbols(docs: DataFrame, doc: str, seq: str) -> DataFrame:
 def motif_hits(rows: DataFrame, motif: str, threshold: float = 0.6) -> DataFrame:
     """doc, w, score of each window of 8 bases that is more like the motif's first 8 than threshold; rows: doc, i, sym, r.
 
-    A base meets each of the motif's eight positions, so a row makes eight, and windows are sums; no window is built.
+    For bases that come as rows: each meets the motif's eight positions, and windows are sums.  Sequences in arrays have ``matches``.
     """
     motif = "".join(c for c in motif.upper() if c in dna.BASES)[:BLOCK]
     if len(motif) < BLOCK:
@@ -33,18 +33,64 @@ def motif_hits(rows: DataFrame, motif: str, threshold: float = 0.6) -> DataFrame
     return scored.where((F.col("n") == BLOCK) & (F.col("score") > threshold)).select("doc", "w", "score")
 
 
+def signatures(docs: DataFrame, doc: str, seq: str, strength=lambda i: F.lit(1.0)) -> DataFrame:
+    """doc, sym (array of 0 to 3), r (array of magnitudes, by position) of each cleaned sequence."""
+    cleaned = docs.select(F.col(doc).alias("doc"), dna.ids(dna.clean(F.col(seq))).alias("sym"))
+    return cleaned.withColumn("r", F.transform("sym", lambda _, i: strength(i).cast("double")))
+
+
+def read_signatures(reads: DataFrame) -> DataFrame:
+    """doc (ord), sym, r of each read (ord, seq, quality): its A, C, G and T with the magnitude of their quality."""
+    kept = reads.select(F.col("ord").alias("doc"), _points(F.col("seq"), F.col("quality")).alias("points"))
+    return kept.select("doc", F.transform("points", lambda p: F.instr(F.lit(dna.BASES), p["b"]) - 1).alias("sym"), F.transform("points", lambda p: dna.phred(p["q"])).alias("r"))
+
+
+def matches(signs: DataFrame, motif: str, threshold: float = 0.6) -> DataFrame:
+    """doc, w, score of each window of 8 bases that is more like the motif's first 8 than threshold; signs: doc, sym, r.
+
+    Scored inside a sequence's arrays: nothing is sent.
+    """
+    motif = "".join(c for c in motif.upper() if c in dna.BASES)[:BLOCK]
+    if len(motif) < BLOCK:
+        raise ValueError(f"a motif has at least {BLOCK} bases")
+    cosines = [F.array(*[F.lit((1.0, 0.0, -1.0, 0.0)[abs(dna.BASES.index(c) - k)]) for k in range(4)]) for c in motif]
+
+    def score(w: Column) -> Column:
+        total = F.lit(0.0)
+        for k, cos in enumerate(cosines):
+            total = total + F.get("r", w + k) * F.get(cos, F.get("sym", w + k))
+        return F.struct(w.alias("w"), (total / BLOCK).alias("score"))
+
+    windows = F.when(F.size("sym") >= BLOCK, F.sequence(F.lit(0), F.greatest(F.size("sym") - BLOCK, F.lit(0))))
+    hits = F.filter(F.transform(windows, score), lambda x: x["score"] > threshold)
+    return signs.select("doc", F.explode(hits).alias("x")).select("doc", "x.w", "x.score")
+
+
+def search_reads(reads: DataFrame, motif: str, threshold: float = 0.6) -> DataFrame:
+    """matches of the reads, the best first, ties by read and window."""
+    return matches(read_signatures(reads), motif, threshold).orderBy(F.desc("score"), "doc", "w")
+
+
+def _points(seq: Column, quality: Column) -> Column:
+    """The read's bases A, C, G, T (in upper case) with their quality characters, as far as both go."""
+    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    pairs = F.zip_with(letters(seq), letters(quality), lambda b, q: F.struct(b.alias("b"), q.alias("q")))
+    return F.filter(pairs, lambda p: F.coalesce(p["b"].isin(*dna.BASES) & p["q"].isNotNull(), F.lit(False)))
+
+
 def read_windows(seq: Column, quality: Column) -> Column:
     """Arrays of 8 (phase, magnitude) of each window over the read's A, C, G and T; null if there are fewer than 8."""
     phase = lambda b: F.when(b == "A", 0.0).when(b == "C", math.pi / 2).when(b == "G", math.pi).otherwise(-math.pi / 2)
-    pairs = F.zip_with(F.filter(F.split(seq, ""), lambda c: c != ""), F.filter(F.split(quality, ""), lambda c: c != ""), lambda b, q: F.struct(b.alias("b"), q.alias("q")))
-    kept = F.filter(pairs, lambda p: p["b"].isin(*dna.BASES))
-    points = F.transform(kept, lambda p: F.struct(phase(p["b"]).alias("phi"), dna.phred(p["q"]).alias("r")))
+    points = F.transform(_points(seq, quality), lambda p: F.struct(phase(p["b"]).alias("phi"), dna.phred(p["q"]).alias("r")))
     return F.when(F.size(points) >= BLOCK, F.transform(F.sequence(F.lit(1), F.greatest(F.size(points) - BLOCK + 1, F.lit(1))), lambda i: F.slice(points, i, BLOCK)))
 
 
-def buckets(rows: DataFrame, count: int = 8, window: int = 64) -> DataFrame:
-    """rows with bucket: the angle of the sum of the 64 bases before, in one of count sectors; 0 where there is none."""
-    past = W.partitionBy("doc").orderBy("i").rowsBetween(-window, -1)
+def buckets(rows: DataFrame, count: int = 8, window: int = 64, current: bool = False) -> DataFrame:
+    """rows with bucket: the angle of the sum of the 64 bases before, in one of count sectors; 0 where there is none.
+
+    With current, the last of the 64 is the base itself; a decoder cannot follow that.
+    """
+    past = W.partitionBy("doc").orderBy("i").rowsBetween(*((-(window - 1), 0) if current else (-window, -1)))
     re = F.sum(F.when(F.col("sym") == 0, 1).when(F.col("sym") == 2, -1).otherwise(0)).over(past)
     im = F.sum(F.when(F.col("sym") == 1, 1).when(F.col("sym") == 3, -1).otherwise(0)).over(past)
     angle = F.atan2(F.col("im").cast("double"), F.col("re").cast("double"))

@@ -410,8 +410,8 @@ def _symbols(spark, sf_dir):
 x AS (SELECT doc, i - off AS w, CAST(1 + (i * 7) % 94 AS DOUBLE) / 94.0::DOUBLE * CASE abs(sym - msym) WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS x FROM sym CROSS JOIN m WHERE i >= off)
 SELECT doc, CAST(w AS INT) AS w, round(sum(x) / 8, 9) AS score FROM x GROUP BY doc, w HAVING count(*) = 8 AND sum(x) / 8 > 0.25""")
 def motif_search(spark, sf_dir):
-    rows = _symbols(spark, sf_dir).withColumn("r", (1 + (F.col("i") * 7) % 94).cast("double") / 94.0)
-    return signal.motif_hits(rows, "ATATACAC", 0.25).withColumn("score", F.round("score", 9))
+    signs = signal.signatures(a.table(spark, sf_dir, "benchmark"), "item_id", "text", lambda i: (1 + (i * 7) % 94).cast("double") / 94.0)
+    return signal.matches(signs, "ATATACAC", 0.25).withColumn("score", F.round("score", 9))
 
 
 def _code_sql(order: int, by: str = "") -> str:
@@ -516,3 +516,126 @@ def tiled_fragments(spark, sf_dir):
     from strainlake.sources.generators import tiled
 
     return a.table(spark, sf_dir, "events").select("user_id", tiled(F.col("event_type"), 100).alias("seq"))
+
+
+# Training set, masters, reads, scope, reports
+
+OBSERVED = f"""{SURVEILLANCE}, cells AS (
+  SELECT Country, YearMonth, Master AS Variant, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY Country, YearMonth) AS DOUBLE) AS f FROM surveillance GROUP BY Country, YearMonth, Master
+), months AS (SELECT Country, YearMonth, lead(YearMonth) OVER (PARTITION BY Country ORDER BY YearMonth) AS following FROM (SELECT DISTINCT Country, YearMonth FROM cells))"""
+
+
+@query(f"""WITH {OBSERVED} SELECT c.Country, c.YearMonth, c.Variant, round(c.f, 9) AS f, round(CASE WHEN m.following IS NULL THEN 0 ELSE coalesce(n.f, 0) - c.f END, 9) AS labels
+FROM cells c JOIN months m ON c.Country = m.Country AND c.YearMonth = m.YearMonth LEFT JOIN cells n ON n.Country = c.Country AND n.Variant = c.Variant AND n.YearMonth = m.following""")
+def dpgr_observed(spark, sf_dir):
+    rows = a.surveillance(spark, sf_dir).withColumnRenamed("Master", "Variant")
+    return labels.dpgr_observed(rows).withColumns({"f": F.round("f", 9), "labels": F.round("labels", 9)})
+
+
+TRAINED = """t AS (
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Influenza A' WHEN 1 THEN 'Influenza B' WHEN 2 THEN 'Other' END AS kind, lang AS Country,
+    CASE WHEN doc_id % 11 > 0 THEN make_date(CAST(2020 + doc_id % 3 AS INT), CAST(1 + doc_id % 7 AS INT), 1) END AS ym,
+    CASE doc_id % 4 WHEN 0 THEN CASE WHEN doc_id % 8 = 0 THEN 'H3N2' ELSE 'A/Other' END WHEN 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'Victoria' WHEN doc_id % 3 = 1 THEN 'Yamagata' ELSE 'B/Other' END ELSE 'Unknown' END AS variant,
+    regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents
+), kept AS (SELECT * FROM t WHERE ym IS NOT NULL AND Country IS NOT NULL AND seq IS NOT NULL), cells AS (
+  SELECT Country, ym, variant, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY Country, ym) AS DOUBLE) AS f FROM kept GROUP BY Country, ym, variant
+), months AS (SELECT Country, ym, lead(ym) OVER (PARTITION BY Country ORDER BY ym) AS following FROM (SELECT DISTINCT Country, ym FROM cells)),
+dpgr AS (SELECT c.Country, c.ym, c.variant, CASE WHEN m.following IS NULL THEN 0 ELSE coalesce(n.f, 0) - c.f END AS labels
+  FROM cells c JOIN months m ON c.Country = m.Country AND c.ym = m.ym LEFT JOIN cells n ON n.Country = c.Country AND n.variant = c.variant AND n.ym = m.following)"""
+
+
+@query(f"""WITH {TRAINED} SELECT sha256('[' || coalesce(kind, 'nan') || '][' || k.Country || '][' || k.variant || '] ' || seq) AS text_hash, round(d.labels, 9) AS labels
+FROM kept k JOIN dpgr d ON k.Country = d.Country AND k.ym = d.ym AND k.variant = d.variant""")
+def dpgr_training_set(spark, sf_dir):
+    k = F.col("doc_id")
+    d = a.table(spark, sf_dir, "documents")
+    month = F.format_string("%d-%02d", 2020 + k % 3, 1 + k % 7)
+    rows = d.select(
+        F.when(k % 4 == 0, "Influenza A").when(k % 4 == 1, "Influenza B").when(k % 4 == 2, "Other").alias("Virus_Type"),
+        F.when(k % 8 == 0, "virus (H3N2)").otherwise("virus (H10N8)").alias("Organism_Name"), F.when(k % 3 == 0, "B/Victoria/1").when(k % 3 == 1, "B/Yamagata/2").otherwise("none").alias("GenBank_Title"),
+        F.col("lang").alias("Country"), F.when(k % 11 > 0, month).alias("Collection_Date"), dna.clean(F.col("text")).alias("sequence"),
+    )
+    return labels.training_set(rows).select(F.sha2("text", 256).alias("text_hash"), F.round("labels", 9).alias("labels"))
+
+
+SEVERAL = f"""{CLEANED}, members AS (
+  SELECT seq, id, id AS place FROM cleaned WHERE seq <> '' UNION ALL SELECT seq, id // 3, id + 0.5 FROM cleaned WHERE seq <> ''
+), grouped AS (
+  SELECT list(id ORDER BY place, id) AS ids, row_number() OVER (ORDER BY count(*) DESC, length(seq) DESC, min(place)) AS k FROM members GROUP BY seq
+)"""
+
+
+@query(f"""WITH {SEVERAL} SELECT Accession, Master FROM (SELECT unnest(ids) AS Accession, ids[1] AS Master, k FROM grouped) QUALIFY row_number() OVER (PARTITION BY Accession ORDER BY k DESC) = 1""")
+def masters_of_several_groups(spark, sf_dir):
+    r = a.records(spark, sf_dir)
+    twice = r.withColumn("ord", 2 * F.col("ord")).unionByName(r.select((2 * F.col("ord") + 1).alias("ord"), F.floor(F.col("id") / 3).alias("id"), "seq"))
+    return labels.masters(dedup.group_sequences(twice)).dropDuplicates(["Accession", "Master"])
+
+
+@query("""WITH c AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS k FROM documents), b AS (SELECT doc_id, k, upper(text[k]) AS b, (ascii(text[k]) - 32) / 94.0::DOUBLE AS r FROM c WHERE text[k] IN ('A', 'C', 'G', 'T', 'a', 'c', 'g', 't')),
+p AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS i, instr('ACGT', b) - 1 AS sym, r FROM b), m AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS off, unnest([3, 0, 1, 0, 3, 3, 0, 2]) AS msym),
+x AS (SELECT doc_id, i - off AS w, r * CASE abs(sym - msym) WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS x FROM p CROSS JOIN m WHERE i >= off)
+SELECT doc_id AS doc, CAST(w AS INT) AS w, round(sum(x) / 8, 6) AS score FROM x GROUP BY doc_id, w HAVING count(*) = 8 AND sum(x) / 8 > 0.5""")
+def read_hits(spark, sf_dir):
+    d = a.table(spark, sf_dir, "documents")
+    reads = d.select(F.col("doc_id").alias("ord"), F.translate("text", "acgt", "ACGT").alias("seq"), F.col("text").alias("quality"))
+    return signal.search_reads(reads, "TACATTAG", 0.5).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {BUCKETS.replace("BETWEEN 64 PRECEDING AND 1 PRECEDING", "BETWEEN 63 PRECEDING AND CURRENT ROW")} SELECT doc, i, bucket FROM sym_""")
+def centroid_buckets(spark, sf_dir):
+    return signal.buckets(_symbols(spark, sf_dir), current=True).select("doc", "i", "bucket")
+
+
+@query("""WITH s AS (SELECT quality AS y, CAST((doc_id * 7919) % 101 AS DOUBLE) / 101.0::DOUBLE AS q FROM labels), r AS (SELECT y, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0::DOUBLE AS rank FROM s),
+c AS (SELECT CAST(count(*) FILTER (y = 1) AS DOUBLE) AS p, CAST(count(*) FILTER (y <> 1) AS DOUBLE) AS n, sum(rank) FILTER (y = 1) AS ranks FROM r)
+SELECT round((ranks - p * (p + 1) / 2) / nullif(p * n, 0), 9) AS auc FROM c""")
+def auc(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "labels").withColumn("q", ((F.col("doc_id") * 7919) % 101).cast("double") / 101.0)
+    return backtest.auc(rows, "quality", "q").select(F.round("auc", 9).alias("auc"))
+
+
+@query(f"""WITH {SURVEILLANCE} SELECT CASE WHEN YearMonth < DATE '1996-07-01' THEN 'learn' ELSE 'test' END AS part, count(*) AS n, min(YearMonth) AS first_month, max(YearMonth) AS last_month FROM surveillance GROUP BY ALL""")
+def month_split(spark, sf_dir):
+    learn, test = labels.split_by_month(a.surveillance(spark, sf_dir), "1996-07")
+    both = learn.withColumn("part", F.lit("learn")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.groupBy("part").agg(F.count("*").alias("n"), F.min("YearMonth").alias("first_month"), F.max("YearMonth").alias("last_month"))
+
+
+@query(r"""WITH y AS (SELECT list_sort(list_distinct(list_concat(list(DISTINCT CAST(year(o_orderdate) AS INT)), [2031]))) AS y FROM orders), c AS (SELECT list(n ORDER BY lower(n), n) AS c FROM (SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS n FROM nation))
+SELECT array_to_string(y, ',') AS years, array_to_string(c, ',') AS countries FROM y, c""")
+def scope_with_groups(spark, sf_dir):
+    n = a.table(spark, sf_dir, "nation")
+    metadata = a.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("string").alias("Isolate Collection date"), F.lit(" ").alias("Geographic Location"))
+    place = F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name"))
+    one = F.create_map(F.lit("geo-location"), F.lit(""), F.lit("geo_location"), F.concat(place, F.lit(": north")), F.lit("year"), F.lit("2031"))
+    groups = n.select(F.create_map("n_name", one).alias("metadata_by_accession"))
+    found = scope.infer_all(metadata, groups)
+    return found.select(joined("years").alias("years"), joined("countries").alias("countries"))
+
+
+TREND_FORMAT = "'%-20s  %-18s  %7.4f  %7.4f  %+8.4f  %.4f@%s  %s', substr(Country, 1, 20), substr(Accession, 1, 18), Start_Prob, End_Prob, Delta, Peak_Prob, Peak_Label, ''"
+
+
+@query(f"""WITH {TRENDS}, up AS (SELECT row_number() OVER (ORDER BY Delta DESC, Country, Accession) - 1 AS k, * FROM growth), down AS (SELECT row_number() OVER (ORDER BY Delta, Country, Accession) - 1 AS k, * FROM growth),
+dom AS (SELECT row_number() OVER (ORDER BY Country, Year, Month) - 1 AS k, * FROM (SELECT *, row_number() OVER (PARTITION BY Country, Year, Month ORDER BY Probability DESC, Accession) AS n FROM e) WHERE n = 1),
+lines AS (
+  SELECT 0 AS part, unnest(range(0, 6)) AS line_no, unnest(['Rows analyzed: ' || format('{{:,}}', (SELECT count(*) FROM e)), 'Country filter: All Countries', '', 'FASTEST RISING STRAINS', 'Country              Accession           Start    End      Delta    Peak', repeat('-', 82)]) AS line
+  UNION ALL SELECT 1, k, printf({TREND_FORMAT}) FROM up WHERE k < 10
+  UNION ALL SELECT 2, unnest(range(0, 4)), unnest(['', 'FASTEST FALLING STRAINS', 'Country              Accession           Start    End      Delta    Peak', repeat('-', 82)])
+  UNION ALL SELECT 3, k, printf({TREND_FORMAT}) FROM down WHERE k < 10
+  UNION ALL SELECT 4, unnest(range(0, 2)), unnest(['Country              Date      Accession           Probability  Title', repeat('-', 100)])
+  UNION ALL SELECT 5, k, printf('%-20s  %d-%02d  %-18s  %10.4f  ', substr(Country, 1, 20), Year, Month, substr(Accession, 1, 18), Probability) FROM dom WHERE k < 250
+  UNION ALL SELECT 6, 0, '... ' || format('{{:,}}', count(*) - 250) || ' more rows not shown' FROM dom HAVING count(*) > 250
+  UNION ALL SELECT 7, 0, 'Analyzed ' || format('{{:,}}', count(*)) || ' forecast rows across ' || format('{{:,}}', count(DISTINCT Country)) || ' countries and ' || format('{{:,}}', count(DISTINCT Accession)) || ' strains.' FROM e
+) SELECT CAST(part AS INT) AS part, CAST(line_no AS INT) AS line_no, line FROM lines""")
+def growth_full_report(spark, sf_dir):
+    return growth.full_report(a.forecast_rows(spark, sf_dir).withColumn("Month", F.col("Day")))
+
+
+@query("""SELECT item_id, CAST(length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) AS BIGINT) AS n, CAST((length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) + 3) // 4 AS BIGINT) AS bytes FROM benchmark""")
+def two_bit_sizes(spark, sf_dir):
+    """The two-bit rows of codec_sizes."""
+    from strainlake.operators.codec import sizes
+
+    return sizes(a.table(spark, sf_dir, "benchmark"), "item_id", "text").where("method = 'two_bit'").select("item_id", "n", "bytes")

@@ -25,12 +25,12 @@ YEARS = (2020, 2021, 2022, 2023, 2024, 2025)
 def master_dataset(metadata: DataFrame, groups: DataFrame, threshold: float = 0.05) -> DataFrame:
     """Accession, GenBank_Title, Collection_Date, Country, YearMonth, Year, Month, Master, Outbreak of dated rows that belong to a group.
 
-    groups: identifiers and first_ord (or group_ord).  ValueError if metadata lacks a required column.
+    groups: identifiers and first_ord (or group_ord).  An ``ord`` column of the metadata (file order) is kept.  ValueError if
+    metadata lacks a required column.
     """
-    if "first_ord" not in groups.columns:
-        groups = groups.withColumnRenamed("group_ord", "first_ord")
-    rows = text.normalize_metadata(metadata).withColumn("Collection_Date", text.date(F.col("Collection_Date")))
-    rows = rows.select("Accession", "GenBank_Title", "Collection_Date", "Country").na.drop(subset=["Accession", "Collection_Date", "Country"])
+    order = [F.col("ord")] if "ord" in metadata.columns else []
+    rows = text.normalize_metadata(metadata, *order).withColumn("Collection_Date", text.date(F.col("Collection_Date")))
+    rows = rows.select("Accession", "GenBank_Title", "Collection_Date", "Country", *order).na.drop(subset=["Accession", "Collection_Date", "Country"])
     rows = rows.withColumns({"YearMonth": F.trunc("Collection_Date", "MM"), "Year": F.year("Collection_Date"), "Month": F.month("Collection_Date")})
     rows = labels.master_rows(rows, labels.masters(groups))
     return labels.labelled(rows, labels.outbreak(rows, threshold))
@@ -50,15 +50,17 @@ def report_text(measures: list) -> str:
 
 def run(
     metadata: DataFrame, groups: DataFrame, output: str, countries: Sequence[str] | None = None, years: Sequence[int] | None = None,
-    training_years: Sequence[int] | None = None, backtest_year: int = 2025, top_n: int = 3, scorer: forecast.Scorer | None = None,
+    training_years: Sequence[int] | None = None, backtest_year: int = 2025, dominant_year: int | None = None, top_n: int = 3, scorer: forecast.Scorer | None = None,
     progress: Callable[[str, float], None] = lambda message, percent: None,
 ) -> dict:
     """Writes the forecast (and, where the year has rows, the backtest) as CSV and returns what was found.
 
     Where none are named, COUNTRIES and YEARS are forecast and all countries backtested; countries without rows are left out.
-    Training years count only before the backtest year.  ValueError if nothing is left to learn from.  The scorer defaults to
-    a model learned here; another one must not need learning.
+    Training years count only before the backtest year; dominant_year, if named, takes that year's place.  ValueError if nothing
+    is left to learn from.  The scorer defaults to a model learned here, from the sequences as well where the groups have them;
+    another one must not need learning.
     """
+    backtest_year = dominant_year or backtest_year
     full = master_dataset(metadata, groups).cache()
     learn, test = labels.split_by_time(full, backtest_year, list(training_years) if training_years else None)
     learn = learn.where(F.col("Year") < backtest_year)
@@ -66,7 +68,13 @@ def run(
     if not train_rows:
         raise ValueError(f"no rows to learn from before {backtest_year}")
     progress(f"{train_rows} rows to learn from", 15)
-    score = scorer or model.scorer(learned(learn))
+    sequences = groups.where(F.size("identifiers") > 0).select(F.get("identifiers", 0).alias("Master"), "sequence") if "sequence" in groups.columns else None
+    if scorer:
+        score = scorer
+    elif sequences is None:
+        score = model.scorer(learned(learn))
+    else:
+        score = model.sequence_scorer(model.fit_sequences(learn.withColumn("Month", F.col("Month").cast("string")), sequences))
     progress("scorer ready", 70)
 
     report, r2 = "no backtest rows", None
@@ -78,7 +86,7 @@ def run(
 
     chosen = full.where(F.col("Country").isin(list(countries or COUNTRIES)))
     strains = full.select(F.col("Master").alias("Accession")).distinct()
-    titles = full.select("Accession", "GenBank_Title", F.struct("Collection_Date", "GenBank_Title").alias("Title_Order"))
+    titles = full.select("Accession", "GenBank_Title", F.struct(*(["ord"] if "ord" in full.columns else ["Collection_Date", "GenBank_Title"])).alias("Title_Order"))
     out = {"output_csv": output, "train_rows": train_rows, "test_rows": test_rows, "backtest_report": report, "r2": r2, "target_year": backtest_year, "training_years": training_years}
 
     tested = test.where(F.col("Country").isin(list(countries))) if countries else test

@@ -27,3 +27,8 @@ def write_fasta(records: DataFrame, path: str, width: int = 70) -> None:
     """FASTA text with lines of at most width bases, in order of ord across the part files."""
     body = F.rtrim(F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{{width}}})", "$1\n"), F.lit("\n"))
     records.orderBy("ord").select(F.concat_ws("\n", F.coalesce("header", F.concat(F.lit(">"), F.col("id"))), F.nullif(body, F.lit(""))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_training_set(rows: DataFrame, path: str) -> None:
+    """text, labels of labels.training_set as Parquet."""
+    rows.select("text", "labels").write.mode("overwrite").parquet(path)
