@@ -86,14 +86,19 @@ def settled(df: DataFrame) -> DataFrame:
     return lasting(df.sparkSession).save(df)
 
 
-#: Rows and bytes up to which ``small`` has a table broadcast.
+#: Rows and bytes up to which a table is broadcast.
 SMALL_ROWS, SMALL_BYTES = 200_000, 32 << 20
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The saved table, marked for broadcasting if it is within SMALL_ROWS and SMALL_BYTES; else Spark joins by shuffle."""
+def is_small(df: DataFrame) -> bool:
+    """Whether a saved table is within SMALL_ROWS and SMALL_BYTES."""
     got = df.limit(SMALL_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
-    return F.broadcast(df) if got.n <= SMALL_ROWS and (got.bytes or 0) <= SMALL_BYTES else df
+    return got.n <= SMALL_ROWS and (got.bytes or 0) <= SMALL_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The saved table, marked for broadcasting if it is small; else Spark joins by shuffle."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def extended(schema: T.StructType, *fields: T.StructField) -> T.StructType:

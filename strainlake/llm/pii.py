@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strainlake.llm._common import Scratch, lasting, settled, small
+from strainlake.llm._common import Scratch, is_small, lasting, settled, small
 from strainlake.llm.arrays import bound, cut, running, sums_before
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -150,8 +150,8 @@ def disclosing(searched: DataFrame, scratch: Scratch) -> DataFrame:
     text with many of both, and others like it, make few pairs.
     """
     hits = scratch.save(searched.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("n_docs"), F.first("plain").alias("plain"), F.first(F.concat("base", "more")).alias("spans")))
-    names = F.transform("spans", lambda b: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), b["kind"] + 1), F.lit(":"), F.lower(b["value"])))
-    held = scratch.save(hits.select("key", "n_docs", F.explode(F.array_distinct(names)).alias("entity")))
+    entity = F.transform("spans", lambda b: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), b["kind"] + 1), F.lit(":"), F.lower(b["value"])))
+    held = scratch.save(hits.select("key", "n_docs", F.explode(F.array_distinct(entity)).alias("entity")))
     texts = [F.count("*").alias("texts"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")]
     known = held.groupBy("entity").agg(F.sum("n_docs").alias("with_entity"), *texts).where(F.col("texts") >= SUPPORT)
     total = float(searched.count())
@@ -161,9 +161,11 @@ def disclosing(searched: DataFrame, scratch: Scratch) -> DataFrame:
     held = scratch.save(held.join(small(known.select("entity", "with_entity", "most", "of_entity")), "entity").select("key", "n_docs", "with_entity", "most", "of_entity").distinct())
     tops = scratch.save(held.groupBy("key").agg(F.max("most").alias("top")))
     own = scratch.save(hits.join(small(tops), "key").select("key", "top", F.explode(_terms(F.col("plain"))).alias("term")))
-    wanted = own.groupBy("term").agg(*texts).where(F.col("texts") >= SUPPORT)
-    # counted where the texts are, before anything is sent
-    everywhere = searched.select(F.explode(_terms(_plain())).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    wanted = scratch.save(own.groupBy("term").agg(*texts).where(F.col("texts") >= SUPPORT))
+    # counted where the texts are, before anything is sent; other terms are passed over if these can be broadcast
+    everywhere = searched.select(F.explode(_terms(_plain())).alias("term"))
+    names = wanted.select("term")
+    everywhere = (everywhere.join(F.broadcast(names), "term", "left_semi") if is_small(names) else everywhere).groupBy("term").agg(F.count("*").alias("with_term"))
     counted = scratch.save(wanted.join(everywhere, "term").select("term", "with_term", F.xxhash64("texts", "sum", "with_term").alias("of_term")))
     rare = own.join(small(counted), "term").where("with_term <= top").select("key", "of_term", "with_term").distinct()
     pairs = rare.join(held, "key").where("with_term <= most")
@@ -177,11 +179,14 @@ def disclosing(searched: DataFrame, scratch: Scratch) -> DataFrame:
 def terms_of(searched: DataFrame) -> DataFrame:
     """key, terms (their spans) of every text that holds disclosing terms; searched: text and what with_entities adds, saved.
 
-    Terms meet their places where the texts are; what is sent is the spans that disclose, once for each text and task.
+    Terms meet their places where the texts are; what is sent is the spans that disclose, once for each text and task.  Texts that
+    hold no such term are passed over first, where those that do are few enough for their keys to be broadcast.
     """
     with Scratch(searched.sparkSession) as scratch:
         told = scratch.save(disclosing(searched, scratch).select("term"))
-        placed = searched.select("key", F.explode(located(_plain(), TERM, F.lit(4))).alias("s")).select("key", "s.start", "s.end", F.lower("s.value").alias("term"))
+        holds = scratch.save(searched.select("key", F.explode(_terms(_plain())).alias("term")).join(small(told), "term", "left_semi").select("key").distinct())
+        texts = searched.join(F.broadcast(holds), "key", "left_semi") if is_small(holds) else searched
+        placed = texts.select("key", F.explode(located(_plain(), TERM, F.lit(4))).alias("s")).select("key", "s.start", "s.end", F.lower("s.value").alias("term"))
         span = F.struct(F.lit(4).alias("kind"), "start", "end", F.col("term").alias("value"))
         return settled(placed.join(small(told), "term", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set(span)).alias("terms")))
 
