@@ -294,11 +294,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kept = T.StructType(schema.fields[:-1])
     key = next(f"id{'_' * n}" for n in range(1, 99) if f"id{'_' * n}" not in {c.lower() for c in keep})
 
+    size = tokenizer(path).get_vocab_size(with_added_tokens=True)
+
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                found = np.unique(np.frombuffer(b"".join(x for x in b.column(keep.index("ids")).to_pylist() if x), "<u4")).astype(np.int32)
+                b, stands = whole.slice(at, 512), np.zeros(size, bool)
+                stands[np.frombuffer(b"".join(x for x in b.column(keep.index("ids")).to_pylist() if x), "<u4")] = True
+                found = np.flatnonzero(stands).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(len(found), c.type) for c in b.columns], pa.array(found)], names=[*keep, key])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int32())], names=[*keep, key])
 
@@ -307,7 +310,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     joined = encoded.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(used, nullable).join(F.broadcast(table), F.col(key) == F.col(f"{key}2"), "left").select(*[F.col(f"`{c}`") for c in keep], key, f"{key}3")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, fresh = {}, False
+        known, fresh = [None] * size, False
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -317,8 +320,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                         fresh = True
                         out.append("" if row is None else " ".join(map(known.__getitem__, np.frombuffer(row, "<u4").tolist())))
                     else:
-                        if fresh:
-                            known, fresh = {}, False
+                        if fresh:  # pieces of the next batch
+                            known, fresh = [None] * size, False
                         known[i] = p
                 docs = b.filter(pa.array([i is None for i in ids]))
                 yield pa.RecordBatch.from_arrays([*docs.columns[:-2], pa.array(out, pa.string())], names=[*keep, "decoded"])
