@@ -15,7 +15,7 @@ import xxhash
 U = np.uint64
 _M1, _M2, _GOLD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 #: Distinct words whose hashes a worker remembers before it starts over.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 class WordHashes(dict):
