@@ -25,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows that a file of a small table has, and files that one has at most whatever its rows.
+ROWS_A_FILE, FEWEST_FILES = 50_000, 8
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage; ``drop``, or the end of a with block, removes them.
 
@@ -48,10 +52,11 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self.drop()
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """The rows of df from a table; ``rows``: about how many there are at most, so that few don't make many files."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(max(FEWEST_FILES, rows // ROWS_A_FILE))).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
@@ -81,9 +86,9 @@ def passing() -> Iterator[None]:
             scratch.drop()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of a result, held in a table of the shared folder."""
-    return lasting(df.sparkSession).save(df)
+def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows of a result, held in a table of the shared folder; rows: as in ``Scratch.save``."""
+    return lasting(df.sparkSession).save(df, rows)
 
 
 #: Rows and bytes up to which a table is broadcast.

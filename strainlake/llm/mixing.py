@@ -41,7 +41,7 @@ def words(text: Column) -> Column:
 
 def ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
     """sources with rank (from 0) by code point, null last: a range sort, and offsets of its partitions."""
-    dealt = scratch.save(sources.orderBy(F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()))
+    dealt = scratch.save(sources.orderBy(F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), sources.count())
     sizes = dealt.groupBy("part").count()  # a row for each partition
     offsets = sizes.withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
     own = W.partitionBy("part").orderBy(F.asc_nulls_last("source"))
@@ -54,7 +54,7 @@ def targets(sources: DataFrame, weights: Sequence[float], epochs: float, scratch
     The level (words for each unit of weight) rises while sources are clamped; each round is one sum over the sources.
     """
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights)).cast("int") + 1)
-    rows = scratch.save(ranked(sources, scratch).select("source", "source_size", turn.alias("weight"), (F.col("source_size") * float(epochs)).alias("cap")))
+    rows = scratch.save(ranked(sources, scratch).select("source", "source_size", turn.alias("weight"), (F.col("source_size") * float(epochs)).alias("cap")), sources.count())
     total = float(rows.agg(F.sum("source_size")).first()[0] or 0)
     level, clamped = 0.0, -1
     while True:
@@ -84,9 +84,10 @@ def _mixed(rows: DataFrame, weights: Sequence[float], epochs: float, frozen: boo
     with Scratch(spark) as scratch:
         lean = rows.select("source", "doc_id", "size", "order", F.substring("order", 1, SLICE_DIGITS).alias("slice"))
         lean = lean if frozen else scratch.save(lean)
-        sliced = scratch.save(lean.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")))
-        sources = sliced.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
-        goal = scratch.save(targets(sources, weights, epochs, scratch))
+        sliced = scratch.save(lean.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), lean.count())
+        sources = scratch.save(sliced.groupBy("source").agg(F.sum("slice_size").alias("source_size")), sliced.count())
+        n = sources.count()
+        goal = scratch.save(targets(sources, weights, epochs, scratch), n)
         due = F.round("target").cast("long")
         goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("cast(round(target) as long) div source_size")).otherwise(0)).withColumn("rest", due - F.col("whole") * F.col("source_size"))
         # the slice of each source in which the words still due run out
@@ -99,7 +100,7 @@ def _mixed(rows: DataFrame, weights: Sequence[float], epochs: float, frozen: boo
         at_edge = equal.withColumn("due", F.col("due") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(upto), F.lit(0))).where((F.col("due") >= 0) & (F.col("due") < F.col("size") * F.col("n")))
         stop = at_edge.select("source", F.struct("order", "doc_id", "size").alias("stop"), F.expr("due div size").alias("copies"), F.expr("due % size").alias("words"), "n")
         table = goal.alias("g").join(stop.alias("s"), F.expr("g.source <=> s.source"), "left").select(F.col("g.source").alias("of"), "source_size", "target", "whole", "stop", "copies", "words", "n")
-        table = settled(table)
+        table = settled(table, n)
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = rows.join(F.broadcast(table) if few else table, F.expr("source <=> of"))
     place = F.struct("order", "doc_id", "size")

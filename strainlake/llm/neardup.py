@@ -148,9 +148,10 @@ def _sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b), a saved table, whose full sets are similar; a's set is sent once for each GROUP of its partners."""
-    degree = scratch.save(pairs.groupBy("a").count())
+    total = pairs.count()
+    degree = scratch.save(pairs.groupBy("a").count(), total)
     groups = F.least(F.ceil(F.col("count") / GROUP), F.lit(GROUPS))
-    dealt = spread(pairs, degree.select("a", groups.alias("groups"), "count"), "a", "count", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
+    dealt = spread(pairs, degree.select("a", groups.alias("groups"), "count"), "a", "count", total).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
     heads = degree.select("a", groups.alias("groups")).join(sets, F.col("a") == sets.c)
     first = heads.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
     others = dealt.join(sets, dealt.b == sets.c).select("a", "part", "b", "shingles")
@@ -172,31 +173,32 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """c, root (smallest class reachable) of every class that has a link (a, b)."""
-    edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    edges, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
+    edges = scratch.save(edges, links.count())
     while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state.n:
             return edges.select(F.col("u").alias("c"), F.col("v").alias("root"))
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("larger")).select("u", F.least("u", "m").alias("m"), "larger"))
+        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("larger")).select("u", F.least("u", "m").alias("m"), "larger"), 2 * state.n)
         large = spread(both.where("v > u"), least, "u", "larger", state.n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.save(large)
-        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        large = scratch.save(large, state.n)
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), state.n)
         small = spread(large, least, "u", "n", state.n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = scratch.save(small.select("e.u", "e.v").where("u <> v").distinct())
+        edges = scratch.save(small.select("e.u", "e.v").where("u <> v").distinct(), 2 * state.n)
 
 
 def united(roots: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
     """roots (c, root) once the pairs (a, b) of ``more`` are linked as well: only the roots that these touch are joined anew."""
     of = lambda x: F.coalesce(F.col(f"{x}.root"), F.col(x))
+    n = more.count()
     met = more.join(roots.alias("ra"), F.col("a") == F.col("ra.c"), "left").select(F.coalesce("ra.root", "a").alias("a"), "b")
     met = met.join(roots.alias("rb"), F.col("b") == F.col("rb.c"), "left").select("a", F.coalesce("rb.root", "b").alias("b")).where("a <> b")
-    moved = scratch.save(components(met, scratch).select(F.col("c").alias("old"), F.col("root").alias("new")))
+    moved = components(scratch.save(met, n), scratch).select(F.col("c").alias("old"), F.col("root").alias("new"))
     later = roots.join(_bounded(moved), F.col("root") == F.col("old"), "left").select("c", F.coalesce("new", "root").alias("root"))
     # roots and classes without links have no row in roots; those that are moved get one
-    return scratch.save(later.unionByName(moved.select(F.col("old").alias("c"), F.col("new").alias("root"))))
+    return scratch.save(later.unionByName(moved.select(F.col("old").alias("c"), F.col("new").alias("root"))), roots.count() + n)
 
 
 def prefix_pairs(open_sets: DataFrame, percent: int) -> DataFrame:
@@ -260,14 +262,15 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, coords: int
     groups = _grouped(docs, width, percent, coords, rows)
     keyed = docs.select(F.struct("*").alias("row"), key.alias("key"), "text")
     lost = groups.where(~F.col("kept")).select("key", "c", "d").distinct()
-    gone = settled(lost.select("key").distinct())
+    n = groups.count()
+    gone = settled(lost.select("key").distinct(), n)
     left = keyed.join(_bounded(gone), "key", "left_anti")
-    mixed = settled(groups.where("kept").select("key").distinct().join(_bounded(gone), "key", "left_semi"))
+    mixed = settled(groups.where("kept").select("key").distinct().join(_bounded(gone), "key", "left_semi"), n)
     if not mixed.isEmpty():  # an id on rows of unlike texts, of which some stay: told apart by their sets
         classed = map_texts(keyed.join(_bounded(mixed), "key", "left_semi"), "text", [field("c", "long"), field("d", "long")], lambda: _classes_of(width)).alias("r")
         again = classed.join(lost.alias("l"), F.expr("r.key = l.key and r.c <=> l.c and r.d <=> l.d"), "left_anti").drop("c", "d")
         left = left.unionByName(again)
-    twice = settled(groups.where("kept and n_shingles > 0").groupBy("key").count().where("count > 1").select("key"))
+    twice = settled(groups.where("kept and n_shingles > 0").groupBy("key").count().where("count > 1").select("key"), n)
     if not twice.isEmpty():  # rows of one id: of equal texts among them, one stays
         again = left.join(_bounded(twice), "key", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["key", "h"]).drop("h")
         left = left.join(_bounded(twice), "key", "left_anti").unionByName(again)
@@ -280,7 +283,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, coords: int, rows: int)
         raw = scratch.save(features(docs, width, coords, rows))
         # classes: equal sets, whose hashes agree in all 128 bits; one of several that share the first 64 keeps those as its name
         alike = raw.where("c is not null").groupBy("c").agg(F.min("d").alias("least_d"), F.max("d").alias("most_d"))
-        shared = scratch.save(alike.where("least_d < most_d").select(F.col("c").alias("shared"), "least_d"))
+        n = raw.count()
+        shared = scratch.save(alike.where("least_d < most_d").select(F.col("c").alias("shared"), "least_d"), n)
 
         def named(df: DataFrame) -> DataFrame:
             if shared.isEmpty():
@@ -289,20 +293,21 @@ def _grouped(docs: DataFrame, width: int, percent: int, coords: int, rows: int)
             return df.join(_bounded(shared), F.col("c") == F.col("shared"), "left").withColumns({"c": own, "hash_c": F.col("c")}).drop("shared", "least_d")
 
         each = [F.min("key").alias("key"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.count("*").alias("copies"), F.first("bands").alias("bands")]
-        classes = scratch.save(named(raw).where("c is not null").groupBy("c").agg(*each))
+        classes = scratch.save(named(raw).where("c is not null").groupBy("c").agg(*each), n)
+        in_bands = classes.count() * (coords // rows)
         banded = classes.select("c", "n", F.explode("bands").alias("bucket"))
-        many = scratch.save(banded.groupBy("bucket").agg(F.min("c").alias("hub"), F.max("c").alias("top")).where("hub < top").select("bucket", "hub"))
-        members = scratch.save(banded.join(_bounded(many), "bucket").select("bucket", "hub", "c", "n"))
-        stars = scratch.save(members.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct())
-        keys = scratch.save(classes.select("c", "key").join(members.select("c").distinct(), "c", "left_semi").select("key"))
+        many = scratch.save(banded.groupBy("bucket").agg(F.min("c").alias("hub"), F.max("c").alias("top")).where("hub < top").select("bucket", "hub"), in_bands)
+        members = scratch.save(banded.join(_bounded(many), "bucket").select("bucket", "hub", "c", "n"), in_bands)
+        stars = scratch.save(members.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct(), members.count())
+        keys = scratch.save(classes.select("c", "key").join(members.select("c").distinct(), "c", "left_semi").select("key"), n)
         sets = scratch.save(named(_sets(docs, keys, width)).drop("d", "hash_c"))
         if sets.select("c").distinct().count() < sets.count():  # a doc_id that stands more than once
             sets = scratch.save(sets.dropDuplicates(["c"]))
         links = scratch.save(verify(stars, sets, percent, scratch))
-        roots = scratch.save(components(links, scratch))
+        roots = components(links, scratch)
 
-        rooted = scratch.save(members.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
-        disputed = scratch.save(rooted.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("bucket", "k"))
+        rooted = scratch.save(members.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), members.count())
+        disputed = scratch.save(rooted.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("bucket", "k"), many.count())
         if not disputed.isEmpty():
             open_rows = rooted.join(_bounded(disputed), "bucket")
             few = open_rows.where(F.col("k") <= SMALL).where("c <> hub").select("bucket", "c", "n", "root").join(sets.drop("shingles"), "c")
@@ -315,11 +320,11 @@ def _grouped(docs: DataFrame, width: int, percent: int, coords: int, rows: int)
                 roots = united(roots, more, scratch)
 
         # a label for each class first, then one join with the documents, in which classes of many copies are spread
-        least = scratch.save(classes.select("c", "copies", "least").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
-        smallest = scratch.save(least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
-        named_classes = scratch.save(spread(least.select("c", "copies", "root"), smallest, "root", "n", least.count()).select("c", "copies", "component_id"))
-        placed = spread(named(raw.drop("bands")), named_classes, "c", "copies", raw.count(), "left")
+        least = scratch.save(classes.select("c", "copies", "least").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), n)
+        smallest = scratch.save(least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), n)
+        named_classes = scratch.save(spread(least.select("c", "copies", "root"), smallest, "root", "n", least.count()).select("c", "copies", "component_id"), n)
+        placed = spread(named(raw.drop("bands")), named_classes, "c", "copies", n, "left")
         component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         first = F.coalesce("hash_c", "c") if "hash_c" in placed.columns else F.col("c")
         out = placed.select("doc_id", "key", first.alias("c"), "d", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
-        return settled(out)
+        return settled(out, n)

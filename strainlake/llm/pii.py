@@ -149,30 +149,31 @@ def disclosing(searched: DataFrame, scratch: Scratch) -> DataFrame:
     Entities that stand in the same texts are one class, and so are terms of the same texts and number: classes meet, so a
     text with many of both, and others like it, make few pairs.
     """
-    hits = scratch.save(searched.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("n_docs"), F.first("plain").alias("plain"), F.first(F.concat("base", "more")).alias("spans")))
+    n = searched.where(F.size("base") > 0).count()  # about eight entities and a hundred terms a text
+    hits = scratch.save(searched.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("n_docs"), F.first("plain").alias("plain"), F.first(F.concat("base", "more")).alias("spans")), n)
     entity = F.transform("spans", lambda b: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), b["kind"] + 1), F.lit(":"), F.lower(b["value"])))
-    held = scratch.save(hits.select("key", "n_docs", F.explode(F.array_distinct(entity)).alias("entity")))
+    held = scratch.save(hits.select("key", "n_docs", F.explode(F.array_distinct(entity)).alias("entity")), 8 * n)
     texts = [F.count("*").alias("texts"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")]
     known = held.groupBy("entity").agg(F.sum("n_docs").alias("with_entity"), *texts).where(F.col("texts") >= SUPPORT)
     total = float(searched.count())
     most = F.col("with_entity") * F.pow(F.lit(total + 1) / F.col("with_entity"), F.lit(1 - THRESHOLD)) * 1.000001  # rounding loses none
-    known = scratch.save(known.select("entity", "with_entity", most.alias("most"), F.xxhash64("texts", "sum", "with_entity").alias("of_entity")))
+    known = scratch.save(known.select("entity", "with_entity", most.alias("most"), F.xxhash64("texts", "sum", "with_entity").alias("of_entity")), 8 * n)
     first = known.groupBy("of_entity").agg(F.min("entity").alias("entity"))
-    held = scratch.save(held.join(small(known.select("entity", "with_entity", "most", "of_entity")), "entity").select("key", "n_docs", "with_entity", "most", "of_entity").distinct())
-    tops = scratch.save(held.groupBy("key").agg(F.max("most").alias("top")))
-    own = scratch.save(hits.join(small(tops), "key").select("key", "top", F.explode(_terms(F.col("plain"))).alias("term")))
-    wanted = scratch.save(own.groupBy("term").agg(*texts).where(F.col("texts") >= SUPPORT))
+    held = scratch.save(held.join(small(known.select("entity", "with_entity", "most", "of_entity")), "entity").select("key", "n_docs", "with_entity", "most", "of_entity").distinct(), 8 * n)
+    tops = scratch.save(held.groupBy("key").agg(F.max("most").alias("top")), n)
+    own = scratch.save(hits.join(small(tops), "key").select("key", "top", F.explode(_terms(F.col("plain"))).alias("term")), 100 * n)
+    wanted = scratch.save(own.groupBy("term").agg(*texts).where(F.col("texts") >= SUPPORT), 100 * n)
     # counted where the texts are, before anything is sent; other terms are passed over if these can be broadcast
     everywhere = searched.select(F.explode(_terms(_plain())).alias("term"))
     names = wanted.select("term")
     everywhere = (everywhere.join(F.broadcast(names), "term", "left_semi") if is_small(names) else everywhere).groupBy("term").agg(F.count("*").alias("with_term"))
-    counted = scratch.save(wanted.join(everywhere, "term").select("term", "with_term", F.xxhash64("texts", "sum", "with_term").alias("of_term")))
+    counted = scratch.save(wanted.join(everywhere, "term").select("term", "with_term", F.xxhash64("texts", "sum", "with_term").alias("of_term")), 100 * n)
     rare = own.join(small(counted), "term").where("with_term <= top").select("key", "of_term", "with_term").distinct()
     pairs = rare.join(held, "key").where("with_term <= most")
     j = pairs.groupBy("of_entity", "of_term", "with_entity", "with_term").agg(F.count("*").alias("texts"), F.sum("n_docs").alias("both")).where(F.col("texts") >= SUPPORT)
     knows = F.log2(F.lit(total) * F.col("both") / (F.col("with_entity") * F.col("with_term"))) / F.log2(F.lit(total + 1) / F.col("with_entity"))
     told = j.withColumn("disclosure", knows).where(F.col("disclosure") >= THRESHOLD).join(first, "of_entity")
-    best = scratch.save(told.groupBy("of_term").agg(F.max("disclosure").alias("disclosure"), F.min_by("entity", F.struct(-F.col("disclosure"), "entity")).alias("entity")))
+    best = scratch.save(told.groupBy("of_term").agg(F.max("disclosure").alias("disclosure"), F.min_by("entity", F.struct(-F.col("disclosure"), "entity")).alias("entity")), 100 * n)
     return counted.join(small(best), "of_term").select("term", "disclosure", "entity")
 
 
@@ -183,12 +184,13 @@ def terms_of(searched: DataFrame) -> DataFrame:
     hold no such term are passed over first, where those that do are few enough for their keys to be broadcast.
     """
     with Scratch(searched.sparkSession) as scratch:
-        told = scratch.save(disclosing(searched, scratch).select("term"))
-        holds = scratch.save(searched.select("key", F.explode(_terms(_plain())).alias("term")).join(small(told), "term", "left_semi").select("key").distinct())
+        n = searched.count()
+        told = scratch.save(disclosing(searched, scratch).select("term"), n)
+        holds = scratch.save(searched.select("key", F.explode(_terms(_plain())).alias("term")).join(small(told), "term", "left_semi").select("key").distinct(), n)
         texts = searched.join(F.broadcast(holds), "key", "left_semi") if is_small(holds) else searched
         placed = texts.select("key", F.explode(located(_plain(), TERM, F.lit(4))).alias("s")).select("key", "s.start", "s.end", F.lower("s.value").alias("term"))
         span = F.struct(F.lit(4).alias("kind"), "start", "end", F.col("term").alias("value"))
-        return settled(placed.join(small(told), "term", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set(span)).alias("terms")))
+        return settled(placed.join(small(told), "term", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set(span)).alias("terms")), n)
 
 
 def _with_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
