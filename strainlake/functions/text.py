@@ -33,6 +33,8 @@ REQUIRED = ("Accession", "Collection_Date", "Country")
 # Days that the labels of relative dates stand for, and the label that adds no filter.
 RELATIVE_DAYS = {"Last 30 days": 30, "Last 90 days": 90, "Last 6 months": 180, "Last 1 year": 365, "Last 2 years": 730, "Last 5 years": 1825}
 ANY_DATE = "Any Date"
+# Fixed value: pattern of a terminal's control sequence.
+TERMINAL = r"\x1b\[[0-?]*[ -/]*[@-~]"
 
 
 def resolve(columns: Iterable[str], names: Iterable[str]) -> str | None:
@@ -121,8 +123,8 @@ def relative_date(label: str, today: Column | None = None) -> Column:
 
 
 def plain_console(text: Column) -> Column:
-    """Text without terminal sequences and control characters."""
-    return F.regexp_replace(F.regexp_replace(text, r"\x1B\[[0-9;?]*[A-Za-z]", ""), r"[\x00-\x08\x0B-\x1F\x7F]", "")
+    """Text without terminal sequences, control characters other than tabs, and blanks at its ends."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, TERMINAL, ""), r"[\x00-\x08\x0A-\x1F]", ""), r"^\s+|\s+$", "")
 
 
 def percent(text: Column) -> Column:

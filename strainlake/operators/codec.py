@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from strainlake.functions import dna
 
-# Fixed value: first bytes of the container.
+# First bytes of the container; its header has the keys version, mode (plain or polar), k, alpha, block_size,
+# n_buckets, n_ids and, for files, n_bytes and source_name.
 MAGIC = b"PQC1"
 _SCALE, _TOP, _FULL = 1 << 16, 1 << 24, (1 << 32) - 1
 #: Suffixes of a container and of what is restored from a file without that one.
@@ -160,6 +161,20 @@ def unpack_files(files: DataFrame, content: str = "packed") -> DataFrame:
     return files.select("path", F.col(content).alias("content")).mapInPandas(run, "path string, content binary")
 
 
+def write_files(rows: DataFrame, content: str) -> list[str]:
+    """Writes the binary column to the paths in ``path``, one file after the other, and returns the paths."""
+    spark, done = rows.sparkSession, []
+    for r in rows.select("path", F.col(content).alias("content")).toLocalIterator():
+        target = spark._jvm.org.apache.hadoop.fs.Path(r.path)
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        try:
+            out.write(r.content)
+        finally:
+            out.close()
+        done.append(r.path)
+    return done
+
+
 def sizes(docs: DataFrame, key: str, seq: str, order: int = 4, higher: int = 6, buckets: tuple[int, ...] = (4, 8, 16)) -> DataFrame:
     """key, n, method, bytes, bits_per_base, times_smaller (than two bits a base; null for no bases) of each document's cleaned sequence."""
     cleaned = docs.select(F.col(key).alias("key"), dna.clean(F.coalesce(F.col(seq), F.lit(""))).alias("seq"))

@@ -23,6 +23,16 @@ def group_sequences(records: DataFrame, ord: str = "ord", id: str = "id", seq: s
     )
 
 
+def members(records: DataFrame, ord: str = "ord", id: str = "id", seq: str = "seq") -> DataFrame:
+    """seq_hash, ord, id, Master (the group's first identifier in file order) of each record with a sequence.
+
+    The long form of groups: no row holds a group, however large it is.
+    """
+    keyed = records.select(F.sha2(dna.clean(F.col(seq)), 256).alias("seq_hash"), F.col(ord).alias("ord"), F.col(id).alias("id")).where(F.col("seq_hash") != F.sha2(F.lit(""), 256))
+    first = keyed.groupBy("seq_hash").agg(F.min_by("id", F.struct("ord", "id")).alias("Master"))
+    return keyed.join(first, "seq_hash")
+
+
 def ranked(groups: DataFrame) -> DataFrame:
     """Groups, largest count first, then the longest, then in file order."""
     return groups.orderBy(F.desc("count"), F.desc("seq_length"), "first_ord")

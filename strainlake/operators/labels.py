@@ -74,6 +74,11 @@ def encode(rows: DataFrame, column: str, to: str) -> DataFrame:
     return values.withColumn(to, F.row_number().over(W.orderBy(column)) - 1)
 
 
+def with_codes(rows: DataFrame, column: str, to: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """Rows with the number of their value in the dictionary (that of ``encode`` by default); values not in it are left out."""
+    return rows.join(encode(rows, column, to) if dictionary is None else dictionary, column)
+
+
 def dpgr_observed(rows: DataFrame) -> DataFrame:
     """Country, YearMonth, Variant, f (share of the month's rows), labels of each cell that has rows.
 

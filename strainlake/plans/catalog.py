@@ -639,3 +639,26 @@ def two_bit_sizes(spark, sf_dir):
     from strainlake.operators.codec import sizes
 
     return sizes(a.table(spark, sf_dir, "benchmark"), "item_id", "text").where("method = 'two_bit'").select("item_id", "n", "bytes")
+
+
+@query(f"""WITH {CLEANED} SELECT sha256(seq) AS seq_hash, id AS ord, id, first_value(id) OVER (PARTITION BY seq ORDER BY id) AS Master FROM cleaned WHERE seq <> ''""")
+def group_members(spark, sf_dir):
+    return dedup.members(a.records(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT n_name, CAST(row_number() OVER (ORDER BY n_name) - 1 AS INT) AS Country_ID FROM (SELECT DISTINCT n_name FROM nation WHERE n_nationkey > 3))
+SELECT s_suppkey, Country_ID FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN d USING (n_name)""")
+def encoded_countries(spark, sf_dir):
+    n = a.table(spark, sf_dir, "nation")
+    rows = a.table(spark, sf_dir, "supplier").join(n, F.expr("s_nationkey = n_nationkey")).select("s_suppkey", "n_name")
+    return labels.with_codes(rows, "n_name", "Country_ID", labels.encode(n.where("n_nationkey > 3"), "n_name", "Country_ID")).select("s_suppkey", "Country_ID")
+
+
+@query(r"""SELECT event_id, regexp_replace(regexp_replace(regexp_replace(t, '\x1b\[[0-?]*[ -/]*[@-~]', '', 'g'), '[\x00-\x08\x0A-\x1F]', '', 'g'), '^\s+|\s+$', '', 'g') AS line,
+  least(try_cast(nullif(regexp_extract(t, '(\d{1,3})%', 1), '') AS INT), 100) AS percent
+FROM (SELECT event_id, chr(27) || '[2K' || chr(13) || '  ' || event_type || chr(27) || '[1;32m ' || (event_id % 250) || CASE WHEN event_id % 2 = 0 THEN '%' ELSE '' END || chr(9) || 'x' || chr(10) || ' ' AS t FROM events)""")
+def console_lines(spark, sf_dir):
+    e = a.table(spark, sf_dir, "events")
+    mark = F.when(F.col("event_id") % 2 == 0, "%").otherwise("")
+    t = F.concat(F.lit("\x1b[2K\r  "), F.col("event_type"), F.lit("\x1b[1;32m "), (F.col("event_id") % 250).cast("string"), mark, F.lit("\tx\n "))
+    return e.select("event_id", text.plain_console(t).alias("line"), text.percent(t).alias("percent"))

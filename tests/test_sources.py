@@ -209,3 +209,32 @@ def test_model_of_sequences(spark, tmp_path):
     only = labels.with_sequences(learn, spark.createDataFrame([("A0", "ACGT"), ("A1", "NNN")], "Master string, sequence string"))
     assert {r.Master for r in only.select("Master").distinct().collect()} == {"A0"}
     assert spark.createDataFrame([("ACGTA",)], "s string").select(model.kmers(F.col("s"), 3)).first()[0] == ["ACG", "CGT", "GTA"]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from strainlake.__main__ import main
+
+    (tmp_path / "a.fna").write_text(">A1 x\nACGT\n>A2\nACGT\n>A3\nGG\n")
+    (tmp_path / "m.csv").write_text("accession,host\nA1,old\nA1,new\nQ,x\n")
+    run = lambda *args: main([str(tmp_path / x) if x in files else x for x in args])
+    files = {"a.fna", "m.csv", "d.json", "rle", "a.fna.pqc", "f.csv"}
+    run("duplicates", "a.fna", "--out", "d.json", "--metadata-csv", "m.csv")
+    made = json.loads((tmp_path / "d.json").read_text())
+    assert made["sequences"][0]["identifiers"] == ["A1", "A2"] and made["sequences"][0]["metadata_by_accession"] == {"A1": {"host": "new"}}
+    assert made["metadata_summary"] == {"metadata_rows": 2, "duplicate_sequence_entries": 2, "enriched_sequence_entries": 1, "matched_accessions": 1, "missing_accessions": 2}
+    run("uniqueness", "a.fna")
+    assert "duplicates: 1" in capsys.readouterr().out
+    run("run-length", "a.fna", "rle")
+    assert [r.value for r in spark.read.text(str(tmp_path / "rle")).collect()][:2] == [">A1 x", dna_code(spark, "ACGT")]
+    raw = (tmp_path / "a.fna").read_bytes()
+    run("pack", "a.fna")
+    (tmp_path / "a.fna").unlink()
+    run("unpack", "a.fna.pqc")
+    assert (tmp_path / "a.fna").read_bytes() == raw
+    (tmp_path / "f.csv").write_text("Year,Month,Country,Accession,Probability\n2024,1,X,A,0.1\n2024,2,X,A,0.3\n")
+    run("growth", "f.csv", "--country", "X")
+    assert "FASTEST RISING STRAINS" in capsys.readouterr().out
+
+
+def dna_code(spark, s):
+    return spark.range(1).select(dna.run_length(F.lit(s))).first()[0]
