@@ -326,6 +326,27 @@ def test_likeness_equals_plain_version(docs, rows):
         assert got[r.doc_id].near_next == share(own, prints.fingerprint(following)) and got[r.doc_id].near_edited == share(own, prints.fingerprint(editprint.edited(r.text, following)))
 
 
+def test_groups_have_nearly_all_alike_pairs(spark):
+    rng, texts = random.Random(9), {}
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(n))
+    for k in range(120):
+        base = prose(rng.randint(60, 250))
+        texts[3 * k] = texts[3 * k + 1] = base
+        a = rng.randrange(len(base))
+        texts[3 * k + 2] = base[:a] + prose(60)[: int(len(base) * rng.uniform(0.02, 0.22))] + base[a + int(len(base) * rng.uniform(0.02, 0.22)) :]
+    w = editprint.Walker(1)
+    walks = {d: w.output(t) for d, t in texts.items()}
+    alike = {(a, b) for a in texts for b in texts if a < b and editprint.agreement(walks[a], walks[b]) >= editprint.LEAST}
+    own = {d: d for d in texts}
+    for _ in range(3):
+        for a, b in alike:
+            own[a] = own[b] = min(own[a], own[b])
+    got = {r.doc_id: r.group_id for r in editprint.compared(table(spark, [(d, t, None, None, 0) for d, t in texts.items()])).collect()}
+    assert all(own[d] == own[g] for d, g in got.items()) and all(got[3 * k] == got[3 * k + 1] for k in range(120))
+    different = [(a, b) for a, b in alike if texts[a] != texts[b]]
+    assert len(different) > 60 and sum(got[a] == got[b] for a, b in different) >= 0.9 * len(different)
+
+
 # Hot groups
 
 
