@@ -96,15 +96,15 @@ def _mixed(rows: DataFrame, weights: Sequence[float], epochs: float, frozen: boo
         edge = edge.where("before <= rest and rest < before + slice_size").select("a.source", "slice", (F.col("rest") - F.col("before")).alias("due"))
         # and in it, the document, with all its copies, in which they do
         equal = lean.alias("s").join(edge.alias("e"), F.expr("s.source <=> e.source and s.slice = e.slice")).groupBy("s.source", "s.order", "s.doc_id", "s.size", "e.due").agg(F.count("*").alias("n"))
-        upto = W.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+        upto = W.partitionBy("source").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, -1)
         at_edge = equal.withColumn("due", F.col("due") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(upto), F.lit(0))).where((F.col("due") >= 0) & (F.col("due") < F.col("size") * F.col("n")))
-        stop = at_edge.select("source", F.struct("order", "doc_id", "size").alias("stop"), F.expr("due div size").alias("copies"), F.expr("due % size").alias("words"), "n")
+        stop = at_edge.select("source", F.struct("order", "doc_id").alias("stop"), F.expr("due div size").alias("copies"), F.expr("due % size").alias("words"), "n")
         table = goal.alias("g").join(stop.alias("s"), F.expr("g.source <=> s.source"), "left").select(F.col("g.source").alias("of"), "source_size", "target", "whole", "stop", "copies", "words", "n")
         table = settled(table, n)
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = rows.join(F.broadcast(table) if few else table, F.expr("source <=> of"))
-    place = F.struct("order", "doc_id", "size")
-    here = F.coalesce((F.col("order") == F.col("stop.order")) & F.col("doc_id").eqNullSafe(F.col("stop.doc_id")) & (F.col("size") == F.col("stop.size")), F.lit(False))
+    place = F.struct("order", "doc_id")  # copies of a row have one place; its size, if not asked for, is not counted again
+    here = F.coalesce((F.col("order") == F.col("stop.order")) & F.col("doc_id").eqNullSafe(F.col("stop.doc_id")), F.lit(False))
     more = F.when(here, F.col("copy") < F.col("copies")).otherwise(F.coalesce(place < F.col("stop"), F.lit(False)))
     part = F.when(here & (F.col("copy") == F.col("copies")), F.col("words")).otherwise(0)
 
