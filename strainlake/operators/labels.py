@@ -79,14 +79,17 @@ def with_codes(rows: DataFrame, column: str, to: str, dictionary: DataFrame | No
     return rows.join(encode(rows, column, to) if dictionary is None else dictionary, column)
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.na.drop(subset=["Country", "YearMonth", "Variant"]).groupBy("Country", "YearMonth", "Variant").agg(F.count("*").alias("n"))
+
+
 def dpgr_observed(rows: DataFrame) -> DataFrame:
     """Country, YearMonth, Variant, f (share of the month's rows), labels of each cell that has rows.
 
     labels: change of the variant's share to the country's next month, in which an absent variant has share 0; 0 in its last
     month.  Work and result are in proportion to the cells seen.
     """
-    seen = rows.na.drop(subset=["Country", "YearMonth", "Variant"]).groupBy("Country", "YearMonth", "Variant").agg(F.count("*").alias("n"))
-    cells = seen.withColumn("f", F.col("n").cast("double") / F.sum("n").over(W.partitionBy("Country", "YearMonth")).cast("double"))
+    cells = _cells(rows).withColumn("f", F.col("n").cast("double") / F.sum("n").over(W.partitionBy("Country", "YearMonth")).cast("double"))
     months = cells.select("Country", "YearMonth").distinct().withColumn("Next", F.lead("YearMonth").over(W.partitionBy("Country").orderBy("YearMonth")))
     ahead = cells.select("Country", F.col("YearMonth").alias("Next"), "Variant", F.col("f").alias("f_next"))
     j = cells.join(months, ["Country", "YearMonth"]).join(ahead, ["Country", "Next", "Variant"], "left")
@@ -94,19 +97,30 @@ def dpgr_observed(rows: DataFrame) -> DataFrame:
     return j.select("Country", "YearMonth", "Variant", "f", change.alias("labels"))
 
 
+def dpgr_changes(rows: DataFrame) -> DataFrame:
+    """Country, YearMonth, Variant, labels of the cells in which a share can change: those seen and those of the month before one seen.
+
+    All other cells of the grid have label 0.  Work and result are in proportion to the cells seen.
+    """
+    cells = _cells(rows).withColumn("f", F.col("n").cast("double") / F.sum("n").over(W.partitionBy("Country", "YearMonth")).cast("double"))
+    own = W.partitionBy("Country").orderBy("YearMonth")
+    months = cells.select("Country", "YearMonth").distinct().withColumns({"before": F.lag("YearMonth").over(own), "last": F.lead("YearMonth").over(own).isNull()})
+    # a share counts against its month, unless that is the country's last, and for the month before
+    j = cells.join(months, ["Country", "YearMonth"])
+    parts = F.array(F.struct("YearMonth", F.when(F.col("last"), 0.0).otherwise(-F.col("f")).alias("x")), F.struct(F.col("before").alias("YearMonth"), F.col("f").alias("x")))
+    each = j.select("Country", "Variant", F.explode(parts).alias("p")).select("Country", "p.YearMonth", "Variant", "p.x").where("YearMonth is not null")
+    return each.groupBy("Country", "YearMonth", "Variant").agg(F.sum("x").alias("labels"))
+
+
 def dpgr(rows: DataFrame) -> DataFrame:
     """Country, YearMonth, Variant, labels: change of a variant's share to the country's next month, 0 at its end.
 
     Dense: every month seen in a country, with every variant seen anywhere; an absent one has share 0.  Its size is that of the
-    grid; ``training_set`` needs only the cells of dpgr_observed.
+    grid, which only receives the labels of dpgr_changes; ``training_set`` needs only the cells of dpgr_observed.
     """
-    seen = rows.na.drop(subset=["Country", "YearMonth", "Variant"]).groupBy("Country", "YearMonth", "Variant").agg(F.count("*").alias("n"))
-    months, variants = seen.select("Country", "YearMonth").distinct(), seen.select("Variant").distinct()
-    grid = months.crossJoin(variants).join(seen, ["Country", "YearMonth", "Variant"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    share = F.col("n").cast("double") / F.sum("n").over(W.partitionBy("Country", "YearMonth")).cast("double")
-    grid = grid.withColumn("f", share)
-    ahead = F.lead("f").over(W.partitionBy("Country", "Variant").orderBy("YearMonth"))
-    return grid.select("Country", "YearMonth", "Variant", F.coalesce(ahead - F.col("f"), F.lit(0.0)).alias("labels"))
+    changes, seen = dpgr_changes(rows), _cells(rows)
+    grid = seen.select("Country", "YearMonth").distinct().crossJoin(seen.select("Variant").distinct())
+    return grid.join(changes, ["Country", "YearMonth", "Variant"], "left").select("Country", "YearMonth", "Variant", F.coalesce("labels", F.lit(0.0)).alias("labels"))
 
 
 def training_set(rows: DataFrame) -> DataFrame:
