@@ -326,6 +326,20 @@ def test_likeness_equals_plain_version(docs, rows):
         assert got[r.doc_id].near_next == share(own, prints.fingerprint(following)) and got[r.doc_id].near_edited == share(own, prints.fingerprint(editprint.edited(r.text, following)))
 
 
+def test_rows_without_id_come_first(spark):
+    rows_ = [(None if k < 200 else k, f"text {k} " * (k % 7 + 1), None, None, 0) for k in range(250)]
+    df = table(spark, rows_)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows_, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    w, want = editprint.Walker(), Counter()
+    for k, r in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        own = w.fingerprint(r[1])
+        want[r[0], own.hex(), sha(editprint.edited(r[1], following)), editprint.likeness(own, w.fingerprint(following))] += 1
+    got = Counter((r.doc_id, r.fingerprint, r.edited_sha256, r.near_next) for r in editprint.compared(df).collect())
+    assert got == want
+
+
 def test_groups_have_nearly_all_alike_pairs(spark):
     rng, texts = random.Random(9), {}
     prose = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(n))
