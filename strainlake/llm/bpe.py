@@ -21,7 +21,7 @@ import re
 import struct
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strainlake.llm._common import Scratch, extended, field, map_texts, small_batches
+from strainlake.llm._common import Scratch, field, map_texts, small_batches
 
 #: Words that are broadcast at most, and the largest length and number of ids of each: 262,144 * (48 + 4 * 24) bytes at most.
 FREQUENT, FREQUENT_BYTES, FREQUENT_IDS = 1 << 18, 48, 24
@@ -155,8 +155,9 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
     return map_texts(counted, "word", [field("ids", "binary")], lambda: lambda ws, f=encode_word(path): [[f(w) for w in ws]])
 
 
-def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, sample: int = SAMPLE, keep_text: bool = True) -> DataFrame:
-    """docs with ids (binary: little-endian unsigned 32-bit integers of the whole text)."""
+def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, sample: int = SAMPLE, keep_text: bool = True, marked: bool = False) -> DataFrame:
+    """docs with ids (binary: little-endian unsigned 32-bit integers of the whole text); marked: as rows of ``_marked``, made by
+    the workers that put the ids in place."""
     spark = docs.sparkSession
     share = sample / max(1, docs.count())
     drawn = docs.where(F.pmod(F.xxhash64(F.lit("words"), "text"), F.lit(1 << 30)) < share * (1 << 30)) if share < 1 else docs
@@ -170,8 +171,12 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, sample: int = S
     common = spark.sparkContext.broadcast(known)
     if every:
         out = map_texts(docs, "text", [field("ids", "binary")], lambda: _joined(path, dict(zip(_words(common), _ids(common)))))
-        return out if keep_text else out.drop("text")
-    return _with_others(docs, path, common, keep_text)
+        out = out if keep_text else out.drop("text")
+        if marked:
+            schema, mark = _marked(out.schema, path)
+            out = out.mapInArrow(mark, schema)
+        return out
+    return _with_others(docs, path, common, keep_text, marked)
 
 
 def _words(common) -> list[str]:
@@ -207,7 +212,7 @@ def _numbered(path: str, known: list[str]):
     return run
 
 
-def _with_others(docs: DataFrame, path: str, common, keep_text: bool) -> DataFrame:
+def _with_others(docs: DataFrame, path: str, common, keep_text: bool, marked: bool) -> DataFrame:
     """Words beyond the broadcast ones are encoded once each, gathered for each document, and put in place."""
     import zstandard
 
@@ -271,7 +276,10 @@ def _with_others(docs: DataFrame, path: str, common, keep_text: bool) -> DataFra
                         out.append(b"".join(map(ids.__getitem__, numbers)))
                 yield pa.RecordBatch.from_arrays([b.column(names.index(c)) for c in kept] + [pa.array(out, pa.binary())], names=[*kept, "ids"])
 
-    return both.mapInArrow(place, out_schema)
+    if not marked:
+        return both.mapInArrow(place, out_schema)
+    marked_schema, mark = _marked(out_schema, path)
+    return both.mapInArrow(lambda batches: mark(place(batches)), marked_schema)
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -282,39 +290,40 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(range(t.get_vocab_size(with_added_tokens=True)), pa.int32()), "piece": [t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))]}))
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded with decoded (string): the pieces of its ids, joined as the tokenizer's decode() joins them.
+def _marked(schema: T.StructType, path: str) -> tuple[T.StructType, Callable]:
+    """Schema and function of batches that are preceded by a row for each id that stands in their column ids.
 
-    Each batch of rows is preceded by a row for each id that stands in it; these rows are joined with the broadcast id-to-piece
-    table, which keeps their order, and what follows reads a batch's pieces before its documents.
+    Such a row has the id in the last column and nothing else; that column is null in the batches' own rows.
     """
-    small_batches(encoded.sparkSession)
-    schema = extended(encoded.schema, field("decoded", "string"))
-    keep = [f.name for f in schema.fields[:-1]]
-    kept = T.StructType(schema.fields[:-1])
+    keep = [f.name for f in schema.fields]
     key = next(f"id{'_' * n}" for n in range(1, 99) if f"id{'_' * n}" not in {c.lower() for c in keep})
+    size, at_ids = tokenizer(path).get_vocab_size(with_added_tokens=True), keep.index("ids")
 
-    size = tokenizer(path).get_vocab_size(with_added_tokens=True)
-
-    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b, stands = whole.slice(at, 512), np.zeros(size, bool)
-                stands[np.frombuffer(b"".join(x for x in b.column(keep.index("ids")).to_pylist() if x), "<u4")] = True
+                stands[np.frombuffer(b"".join(x for x in b.column(at_ids).to_pylist() if x), "<u4")] = True
                 found = np.flatnonzero(stands).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(len(found), c.type) for c in b.columns], pa.array(found)], names=[*keep, key])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int32())], names=[*keep, key])
 
-    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in kept.fields] + [field(key, "int")])
-    table = pieces(encoded.sparkSession, path).select(F.col("id").alias(f"{key}2"), F.col("piece").alias(f"{key}3"))
-    joined = encoded.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(used, nullable).join(F.broadcast(table), F.col(key) == F.col(f"{key}2"), "left").select(*[F.col(f"`{c}`") for c in keep], key, f"{key}3")
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields] + [field(key, "int")]), run
+
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoded(marked: DataFrame, path: str) -> DataFrame:
+    """Rows of ``_marked`` joined with the id-to-piece table, and the pieces put in the places of the ids."""
+    *keep, key = marked.columns
+    size, at_ids = tokenizer(path).get_vocab_size(with_added_tokens=True), keep.index("ids")
+    table = pieces(marked.sparkSession, path).select(F.col("id").alias(f"{key}2"), F.col("piece").alias(f"{key}3"))
+    joined = marked.join(F.broadcast(table), F.col(key) == F.col(f"{key}2"), "left").select(*[F.col(f"`{c}`") for c in keep], key, f"{key}3")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, fresh = [None] * size, False
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                ids, rows, out = b.column(len(keep)).to_pylist(), b.column(keep.index("ids")).to_pylist(), []
+                ids, rows, out = b.column(len(keep)).to_pylist(), b.column(at_ids).to_pylist(), []
                 for i, p, row in zip(ids, b.column(len(keep) + 1).to_pylist(), rows):
                     if i is None:
                         fresh = True
@@ -326,12 +335,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 docs = b.filter(pa.array([i is None for i in ids]))
                 yield pa.RecordBatch.from_arrays([*docs.columns[:-2], pa.array(out, pa.string())], names=[*keep, "decoded"])
 
-    return joined.mapInArrow(placed, schema)
+    return joined.mapInArrow(run, T.StructType([*marked.schema.fields[:-1], field("decoded", "string")]))
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """encoded with decoded (string): the pieces of its ids, joined as the tokenizer's decode() joins them.
+
+    Each batch of rows is preceded by a row for each id that stands in it; these rows are joined with the broadcast id-to-piece
+    table, which keeps their order, and what follows reads a batch's pieces before its documents.
+    """
+    small_batches(encoded.sparkSession)
+    kept = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c.lower() != "decoded"])
+    schema, mark = _marked(kept.schema, path)
+    return _decoded(kept.mapInArrow(mark, schema), path)
 
 
 def digests(docs: DataFrame, path: str, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    done = decode(encode(docs.select("doc_id", "text"), path, frequent, sample, keep_text=False), path)
+    done = _decoded(encode(docs.select("doc_id", "text"), path, frequent, sample, keep_text=False, marked=True), path)
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
