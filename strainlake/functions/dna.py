@@ -99,8 +99,11 @@ def phase_cos(base: Column, other: Column) -> Column:
 
 
 def one_hot(seq: Column, length: int = 2500) -> Column:
-    """Four 0/1 columns for each position, cut or padded to length; anything but A, C, G, T is all zeros."""
-    letters = F.split(F.upper(F.substr(seq, F.lit(1), F.lit(length))), "")
+    """Four 0/1 columns for each position, cut or padded to length; anything but A, C, G, T in either case is all zeros.
+
+    A character is one position: upper would make two of some (ß), and move those after it past the cut.
+    """
+    letters = F.split(F.translate(F.substr(seq, F.lit(1), F.lit(length)), "acgt", "ACGT"), "")
     row = lambda c: F.array(*[F.coalesce(c == b, F.lit(False)).cast("float") for b in BASES])
     # split once: the letters are an element of an array that a function reads
     made = F.transform(F.array(letters), lambda x: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: row(F.get(x, i))))

@@ -3,6 +3,8 @@
 import math
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from strainlake.plans import catalog
@@ -44,3 +46,13 @@ def test_rows_only_queries(spark):
     assert all(r.same for r in catalog.queries()["codec_round_trip"](spark, DIR).collect())
     scores = catalog.queries()["model_scores"](spark, DIR)
     assert scores.where("Probability < 0 or Probability > 1").count() == 0 and scores.count() > 0
+
+
+@pytest.mark.parametrize("name", ["one_hot_sums", "one_hot_sums_whole"])
+def test_one_hot_of_letters_whose_upper_case_is_longer(spark, tmp_path, name):
+    texts = ["ß" * 64 + "acgtACGT" * 8 + "A", "ß" + "a" * 127 + "a", "ŉẚﬀΐ" * 20 + "GATTACAgattaca" * 200, "", None]
+    pq.write_table(pa.table({"item_id": list(range(len(texts))), "text": texts}), tmp_path / "benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet')")
+    got = sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).select("item_id", "a", "known").collect()))
+    assert got == sorted(con.execute(catalog.oracle_sql()[name]).fetchall())
