@@ -10,11 +10,11 @@ Fingerprint: SAMPLES symbols of the output, at times drawn alike for all texts:
 sequence of record times that the walk reached, a uniform time which texts of about the same length share.  Each
 symbol is one byte (1 to 255); likeness is the share of equal symbols.
 
-Groups: different texts that agree in a band of BAND_SYMBOLS sampled symbols are compared with the smallest of the bucket, and in
-further rounds those that are not in its component with the smallest of them; first by their fingerprints, then, where these
-are LOOSE alike at least, by the whole outputs of their walks.  Texts of LEAST likeness so measured are linked.  A pair of
-likeness 0.8 shares no band with probability (1 - 0.8 ** 8) ** 16, 0.05; one that meets only in buckets with hubs unlike both, in
-all rounds, is missed as well (recall is measured in the tests).  Texts are told apart by 64-bit hashes.
+Groups: different texts that agree in a band of BAND_SYMBOLS sampled symbols are compared with the smallest of the bucket,
+first by their fingerprints, then, where these are LOOSE alike at least, by the whole outputs of their walks.  Texts of LEAST
+likeness so measured are linked.  Texts of a bucket that fell into different components are then compared with each other, all of
+them, in blocks: no link between two components is lost, however large the bucket.  What can be missed is a pair without a common
+band, of likeness 0.8 with probability (1 - 0.8 ** 8) ** 16, 0.05 (recall is measured in the tests).  Texts are told apart by 64-bit hashes.
 
 Defined cases: null text counts as empty; empty texts have the fingerprint of zeros and are groups of their own; equal texts have
 equal fingerprints and are one group; rows are ordered by doc_id, nulls first, ties by a hash of the text; the last row's next one
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strainlake.llm._common import Scratch, settled, small, small_batches
-from strainlake.llm.neardup import GROUP, GROUPS, components, spread, united
+from strainlake.llm.neardup import GROUP, GROUPS, _bounded, components, spread, united
 
 SAMPLES, PHASES, SEED = 128, 64, 20
 #: Characters of a word that are tabled together, words that a worker remembers, and how often one is walked before it is tabled.
@@ -44,8 +44,8 @@ PIECE, REMEMBERED, TABLED_AFTER = 32, 200_000, 12
 BANDS, BAND_SYMBOLS = 16, 8
 #: Likeness of whole walks that links two texts, and that of fingerprints below which walks are not compared.
 LEAST, LOOSE = 0.8, 0.6
-#: Hubs that a bucket has, one after the other.
-ROUNDS = 3
+#: Bytes of text that are held of a block of at most about GROUP texts.
+BLOCK_BYTES = 32 << 20
 
 
 class Walker:
@@ -320,11 +320,88 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, seed: int, scratc
     return first.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long, likeness double")
 
 
+class Block:
+    """Texts that meet in a block; those of one component, given or found by their links, are not compared."""
+
+    def __init__(self, w: Walker, least: float):
+        self.w, self.least, self.loose = w, least, least - (LEAST - LOOSE)
+        self.held: list[list] = []  # h, root, text or its walk
+        self.prints = np.empty((0, 0), np.uint8)
+        self.joined: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.joined.get(x, x)) != x:
+            x = up
+        return x
+
+    def links(self, h: int, root: int, mark: bytes, text: str, meets: bool, stays: bool) -> list[tuple]:
+        """Links (a, b, likeness) of the text with those that are held, if it meets them; it is held too, if it stays."""
+        own, row, out, n = np.frombuffer(mark, np.uint8), [h, root, text], [], len(self.held)
+        for k in np.flatnonzero((self.prints[:n] == own).mean(axis=1) >= self.loose) if meets and n else ():
+            other = self.held[k]
+            if (x := self.root(other[1])) != (y := self.root(root)):
+                for r in (other, row):
+                    if isinstance(r[2], str):
+                        r[2] = self.w.output(r[2])
+                if (like := agreement(other[2], row[2])) >= self.least:
+                    self.joined[max(x, y)] = min(x, y)
+                    out.append((min(h, other[0]), max(h, other[0]), like))
+        if stays:
+            if n == len(self.prints):
+                self.prints = np.concatenate([self.prints.reshape(n, len(own)), np.empty((max(16, n), len(own)), np.uint8)])
+            self.prints[n] = own
+            self.held.append(row)
+        return out
+
+
+def met_in_blocks(members: DataFrame, prints: DataFrame, texts: DataFrame, least: float, seed: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b, likeness) between members (band, h, root; saved) of one band and different roots, as many as join what they join.
+
+    texts: h, text, bytes.  The members of each band's largest root and the others are dealt by hash into blocks of about GROUP texts and
+    BLOCK_BYTES; each block of the others meets all blocks of that root and of the others.  Fingerprints and texts are sent to
+    the blocks, pairs never.
+    """
+    few = scratch.save(members.select("h").distinct(), members.count())
+    known = scratch.save(texts.join(_bounded(few), "h", "left_semi").join(prints.join(_bounded(few), "h", "left_semi").select("h", "fingerprint"), "h"))
+    of_root = members.join(known.select("h", "bytes"), "h").groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    of_band = of_root.groupBy("band").agg(F.max(F.struct("n", "bytes", "root")).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("roots"))
+    parts = lambda n, size: F.greatest(F.ceil(n / GROUP), F.ceil(size / BLOCK_BYTES))
+    main, rest = parts(F.col("most.n"), F.col("most.bytes")), parts(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes"))
+    of_band = scratch.save(of_band.select("band", F.col("most.root").alias("main"), main.alias("mains"), rest.alias("rests"), "roots"), few.count())
+
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    of_main = F.col("root") == F.col("main")
+    block = F.pmod(F.xxhash64(F.lit("block"), "h"), F.when(of_main, F.col("mains")).otherwise(F.col("rests")))
+    place = lambda apart, i, j, side: F.struct(F.lit(apart).alias("apart"), i.alias("i"), j.alias("j"), side.alias("side"))
+    with_main = F.transform(each("mains"), lambda i: place(False, i, F.col("block"), F.lit(1)))
+    with_rest = F.transform(each("rests"), lambda j: place(True, F.least(j, "block"), F.greatest(j, "block"), (j < F.col("block")).cast("int")))
+    of_rest = F.when(F.col("roots") > 2, F.concat(with_main, with_rest)).otherwise(with_main)
+    places = F.when(of_main, F.transform(each("rests"), lambda j: place(False, F.col("block"), j, F.lit(0)))).otherwise(of_rest)
+    dealt = members.join(small(of_band), "band").withColumn("block", block).select("band", "h", "root", F.explode(places).alias("at"))
+    key = ["band", "apart", "i", "j"]
+    rows = dealt.select("band", "at.*", "h", "root").join(known, "h").select(*key, "side", "h", "root", F.unhex("fingerprint").alias("mark"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, now, block = Walker(1, seed), None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                out = []
+                for *to, side, h, root, mark, text in zip(*[whole.slice(at, 512).column(i).to_pylist() for i in range(9)]):
+                    if to != now:
+                        now, block = to, Block(w, least)
+                    _, apart, i, j = to
+                    out += block.links(h, root, mark, text, side == 1 or apart and i == j, side == 0)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.float64()])], names=["a", "b", "likeness"])
+
+    met = rows.repartition(*key).sortWithinPartitions(*key, "side", "h").mapInArrow(run, "a long, b long, likeness double")
+    return scratch.save(met.dropDuplicates(["a", "b"]), members.count())
+
+
 def near_links(prints: DataFrame, docs: DataFrame, scratch: Scratch, least: float = LEAST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, likeness) between different texts, by their hashes, and the components (c, root) that they make.
 
-    prints: h, fingerprint of each different text, saved.  Work in proportion to the members of the buckets: in each of ROUNDS rounds
-    a member is compared with one hub of its bucket at most.
+    prints: h, fingerprint of each different text, saved.  Two texts that share a band, whose fingerprints are LOOSE alike and whose
+    walks are alike are in one component.  A member is compared with its bucket's hub; those of other components with each other.
     """
     width, samples = 2 * BAND_SYMBOLS, prints.select(F.max(F.length("fingerprint"))).first()[0] or 0
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", 1 + b * width, width)) for b in range(max(1, min(BANDS, samples // width)))])
@@ -335,7 +412,7 @@ def near_links(prints: DataFrame, docs: DataFrame, scratch: Scratch, least: floa
     n = members.count()
     involved = scratch.save(members.select("h").distinct(), n)
     rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = scratch.save(rows.join(small(involved), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")))
+    texts = scratch.save(rows.join(small(involved), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")).withColumn("bytes", F.octet_length("text")))
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs (a, x, b, y: hashes and fingerprints) of which the fingerprints are LOOSE alike at least."""
@@ -355,17 +432,12 @@ def near_links(prints: DataFrame, docs: DataFrame, scratch: Scratch, least: floa
 
     links = linked(members.where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct())
     roots = components(links.select("a", "b"), scratch)
-    left = members.where("h <> hub")
-    for _ in range(ROUNDS - 1):
-        # those that are not in the component of their bucket's hub; the smallest of them is the next hub
-        of = lambda x: (roots.select(F.col("c").alias(f"{x}_c"), F.col("root").alias(f"{x}_root")), F.col(x) == F.col(f"{x}_c"), "left")
-        apart = left.select("band", "hub", "h").join(*of("hub")).join(*of("h")).where(F.coalesce("hub_root", "hub") != F.coalesce("h_root", "h"))
-        apart = scratch.save(apart.select("band", "h", F.coalesce("h_root", "h").alias("root")), n)
-        hubs = apart.groupBy("band").agg(F.min(F.struct("h", "root")).alias("next")).select("band", F.col("next.h").alias("hub"), F.col("next.root").alias("hub_root"))
-        left = scratch.save(apart.join(hubs, "band").where("root <> hub_root").select("band", "hub", "h"), n)
-        if left.isEmpty():
-            break
-        more = linked(left.select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct())
+    # the hubs have met all of their buckets; the others of a bucket, where they are not of one component, meet now
+    rooted = members.where("h <> hub").join(roots, F.col("h") == F.col("c"), "left").select("band", "h", F.coalesce("root", "h").alias("root"))
+    rooted = scratch.save(rooted, n)
+    disputed = scratch.save(rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("band"), n)
+    if not disputed.isEmpty():
+        more = met_in_blocks(scratch.save(rooted.join(small(disputed), "band"), n), prints, texts, least, seed, scratch)
         if not more.isEmpty():
             links, roots = scratch.save(links.unionByName(more)), united(roots, more.select("a", "b"), scratch)
     return links, roots

@@ -361,6 +361,35 @@ def test_groups_have_nearly_all_alike_pairs(spark):
     assert len(different) > 60 and sum(got[a] == got[b] for a, b in different) >= 0.9 * len(different)
 
 
+@pytest.mark.parametrize("group", [128, 7])
+def test_texts_of_one_bucket_all_meet(spark, monkeypatch, group):
+    """All fingerprints are equal, so that every bucket has all texts: no few hubs can stand for them."""
+    monkeypatch.setattr(editprint, "GROUP", group)
+    rng = random.Random(17)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(n))
+    texts = [x for k in range(40) for x in (lambda t: [t, t + prose(3), t + prose(5)][: 1 + k % 3])(prose(120))]
+    for _ in range(20):  # a chain, each like the next one, and a group that is larger than a block
+        texts.append(prose(120) if not _ else texts[-1][: len(texts[-1]) * 9 // 10] + prose(20)[: 1 + len(texts[-1]) // 10])
+    base = prose(150)
+    texts += [f"{base} {prose(2)}" for _ in range(30)]
+    docs = table(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    ids = {r.h: r.doc_id for r in hashed.collect()}
+    w = editprint.Walker(1)
+    walks = [w.output(t) for t in texts]
+    own = list(range(len(texts)))
+    alike = {(a, b) for b in own for a in range(b) if editprint.agreement(walks[a], walks[b]) >= editprint.LEAST}
+    for _ in own:
+        for a, b in alike:
+            own[a] = own[b] = min(own[a], own[b])
+    with _common.Scratch(spark) as scratch:
+        prints = scratch.save(hashed.select("h", F.lit("07" * editprint.SAMPLES).alias("fingerprint")))
+        links, roots = (x.collect() for x in editprint.near_links(prints, docs, scratch))
+    assert all((min(x), max(x)) in alike for x in ((ids[r.a], ids[r.b]) for r in links))
+    got = {h: h for h in ids} | {r.c: r.root for r in roots}
+    assert {frozenset(ids[h] for h in got if got[h] == root) for root in got.values()} == {frozenset(k for k in range(len(own)) if own[k] == x) for x in own}
+
+
 # Hot groups
 
 
